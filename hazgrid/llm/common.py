@@ -85,3 +85,25 @@ def cut(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 <
 def made(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in ((f, columns[f.name]) for f in schema)], schema=schema)
 
+
+
+def filesystem(uri: str):
+    """pyarrow's file system for a folder, and the path in it. Hadoop writes file:/x for file:///x."""
+    from pyarrow import fs
+
+    if uri.startswith("file:") or "://" not in uri:
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
+def opened(fs, path: str):
+    """A file for reading; a local one is mapped."""
+    from pyarrow import fs as kinds
+
+    return pa.memory_map(path) if isinstance(fs, kinds.LocalFileSystem) else fs.open_input_file(path)
+
+
+def make_folder(spark: SparkSession, uri: str) -> None:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)

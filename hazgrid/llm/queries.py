@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hazgrid.llm import common as C
-from hazgrid.llm import media, pii, quality, urls
+from hazgrid.llm import bpe, media, pii, quality, token_files, urls
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,15 @@ def op2_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(documents(spark, sf_dir))
 
 
+def op3_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = C.fresh_path(spark, "tokens")
+    return token_files.read_shards(spark, folder, token_files.write_shards(documents(spark, sf_dir), folder))
+
+
+def op5_bpe_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir))
+
+
 def op8_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_metrics(documents(spark, sf_dir))
 
@@ -32,6 +41,6 @@ def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_pii_anchors, op8_quality_fertility, op9_telephony_media, op10_host_reputation)
+    for f in (op2_pii_anchors, op3_arrow_token_files, op5_bpe_merge_rounds, op8_quality_fertility, op9_telephony_media, op10_host_reputation)
 }
 ORACLES: dict[str, str] = {}
