@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hazgrid.llm import common as C
-from hazgrid.llm import bpe, media, pii, quality, token_files, urls
+from hazgrid.llm import bpe, media, mixing, pii, quality, substrings, suffixes, token_files, urls
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.table(spark, sf_dir, "documents")
 
 
+def op1_count_min_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, sf_dir), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op2_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(documents(spark, sf_dir))
 
@@ -23,10 +27,18 @@ def op3_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_shards(spark, folder, token_files.write_shards(documents(spark, sf_dir), folder))
 
 
+def op4_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sample(documents(spark, sf_dir)).selectExpr("doc_id", "size", "source_size", "target", "size * copies as taken", "copies")
+
+
 def op5_bpe_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir))
 
 
+def op6_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, sf_dir), with_bytes=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_metrics(documents(spark, sf_dir))
 
@@ -41,6 +53,8 @@ def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_pii_anchors, op3_arrow_token_files, op5_bpe_merge_rounds, op8_quality_fertility, op9_telephony_media, op10_host_reputation)
+    for f in (
+        op1_count_min_substrings, op2_pii_anchors, op3_arrow_token_files, op4_cube_mixing, op5_bpe_merge_rounds, op6_suffix_levels, op8_quality_fertility, op9_telephony_media, op10_host_reputation,
+    )
 }
 ORACLES: dict[str, str] = {}
