@@ -30,7 +30,7 @@ U = np.uint64
 class Corpus:
     folder: str
     rows: DataFrame  # doc_id, digest, file, row: each document
-    texts: DataFrame  # file, row, digest, many: each text that stands for its equals
+    texts: DataFrame  # file, row, digest, many, tid (a number, fixed once written): each text that stands for its equals
     n_files: int
     n_bytes: int
 
@@ -47,7 +47,7 @@ def corpus_of(docs: DataFrame, name: str = "texts", per_file: int = 8192) -> Cor
     kept = spark.read.schema("doc_id long, text string").parquet(folder)
     rows = C.written(kept.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").alias("n_bytes"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")), f"{name}-rows")
     texts = rows.groupBy("digest").agg(F.min(F.struct("file", "row")).alias("at"), (F.count("*") > 1).alias("many"), F.first("n_bytes").alias("n_bytes")).select("at.file", "at.row", "digest", "many", "n_bytes")
-    texts = C.written(texts, f"{name}-distinct")
+    texts = C.written(texts.withColumn("tid", F.monotonically_increasing_id()), f"{name}-distinct")
     n_files, n_bytes = texts.agg(F.count_distinct("file"), F.sum(F.col("n_bytes").cast("long"))).first()
     return Corpus(folder, rows, texts, n_files, n_bytes or 0)
 
@@ -59,6 +59,7 @@ class Part:
     rows: np.ndarray
     many: np.ndarray
     digests: pa.Array
+    tids: np.ndarray
     text: pa.StringArray
 
 
@@ -69,7 +70,7 @@ class Block:
         table = table.sort_by("row")
         self.file = table["file"][0].as_py()
         self.rows, self.many = table["row"].to_numpy(), table["many"].to_numpy(zero_copy_only=False)
-        self.digests, self.folder = table["digest"].combine_chunks(), folder
+        self.digests, self.tids, self.folder = table["digest"].combine_chunks(), table["tid"].to_numpy(), folder
 
     def parts(self, most: int = 1 << 20) -> Iterator[Part]:
         fs, root = C.filesystem(self.folder)
@@ -81,14 +82,14 @@ class Block:
                 at = done
                 for piece in C.cut(iter([mine]), most=most):
                     n = piece.num_rows
-                    yield Part(self.rows[at : at + n], self.many[at : at + n], self.digests.slice(at, n), C.texts(piece))
+                    yield Part(self.rows[at : at + n], self.many[at : at + n], self.digests.slice(at, n), self.tids[at : at + n], C.texts(piece))
                     at += n
                 base, done = base + batch.num_rows, end
 
 
 def each_block(corpus: Corpus, run: Callable[[Block], Iterator[pa.Table] | pa.Table], schema: str, answers: DataFrame | None = None) -> DataFrame:
     """run(block), or run(block, its answers), for every block."""
-    folder, blocks = corpus.folder, corpus.texts.select("file", "row", "digest", "many").groupBy("file")
+    folder, blocks = corpus.folder, corpus.texts.select("file", "row", "digest", "many", "tid").groupBy("file")
     if answers is None:
         return blocks.applyInArrow(lambda t: run(Block(folder, t)), schema)
     empty = C.arrow_schema(schema).empty_table()

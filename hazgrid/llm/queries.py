@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hazgrid.llm import common as C
-from hazgrid.llm import bpe, media, mixing, pii, quality, substrings, suffixes, token_files, urls
+from hazgrid.llm import bpe, jaccard, media, mixing, pii, quality, substrings, suffixes, token_files, urls
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op6_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(documents(spark, sf_dir), with_bytes=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op7_combination_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_metrics(documents(spark, sf_dir))
 
@@ -54,7 +58,7 @@ def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_count_min_substrings, op2_pii_anchors, op3_arrow_token_files, op4_cube_mixing, op5_bpe_merge_rounds, op6_suffix_levels, op8_quality_fertility, op9_telephony_media, op10_host_reputation,
+        op1_count_min_substrings, op2_pii_anchors, op3_arrow_token_files, op4_cube_mixing, op5_bpe_merge_rounds, op6_suffix_levels, op7_combination_jaccard, op8_quality_fertility, op9_telephony_media, op10_host_reputation,
     )
 }
 ORACLES: dict[str, str] = {}

@@ -12,7 +12,7 @@ from hazgrid.llm import bpe, token_files
 tokenizers = pytest.importorskip("tokenizers")
 HARD = [
     "", " ", "  ", "\n\n a\t\r\n b  ", "it's we'll I'VE don't ''s 's", "aaaaaaaaaaaaaaaaaaaaaaaaa" * 40, "=" * 3000, "\x00\x1c\x1d\x1e\x1f\x85\xa0 x", "日本語のテキスト。漢字", "🙂🙃 é ﬁ ​ ", "a<|endoftext|>b", "<|endoftext|><|endoftext|> ",
-    "<|endoftext", "123 4567 89a0", "x" * 5000 + " " + "ab" * 3000, "".join(chr(c) for c in range(0x20, 0x3000)),
+    "<|endoftext", " lead", "trail ", "a \nb", "a\n b", "a\n\n b", "a  b", "a   b", " 's 're", "x\u3000 y", "x \u3000y", "\n a", "a<|endoftext|> b  c", "123 4567 89a0", "x" * 5000 + " " + "ab" * 3000, "".join(chr(c) for c in range(0x20, 0x3000)),
 ]
 
 
@@ -35,9 +35,13 @@ def test_ids_equal_the_librarys(library, with_library):
     assert e.decode(ids, ends) == [library.decode(ids[a:b].tolist(), skip_special_tokens=False) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def test_a_full_cache_is_emptied_and_long_words_merge():
-    e = bpe.Encoder(most_words=3)
-    want = bpe.Encoder().encode(["one two three four", "five one"])
+def test_a_full_cache_forgets():
+    e, t = bpe.Encoder(most_chunks=6, most_chars=90), texts()
+    want = bpe.Encoder()
+    for k in range(0, len(t), 7):
+        got, want_now = e.encode(t[k : k + 7]), want.encode(t[k : k + 7])
+        assert got[0].tolist() == want_now[0].tolist() and got[1].tolist() == want_now[1].tolist()
+    want = want.encode(["one two three four", "five one"])
     for _ in range(2):
         got = e.encode(["one two three four", "five one"])
         assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
