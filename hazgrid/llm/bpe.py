@@ -3,7 +3,7 @@
 Texts are cut into words by the tokenizer's own pattern. Words not met before are encoded together: the symbols of
 all of them lie in one flat array, and each round finds the rank of every neighbouring pair by binary search
 over the sorted pair keys, takes the lowest rank of each word and merges its pairs. A bounded cache keeps
-the ids of words, so a text is a gather of runs of ids, and decoding a gather of runs of bytes.
+the ids of what stands between spaces, so a text is a gather of runs of ids, and decoding a gather of runs of bytes.
 
 Null texts count as empty: no ids. Strings of special tokens in a text become their ids, as in the tokenizers library with its default
 settings. Equal texts get equal ids; rows keep their order; an empty table gives an empty table.
@@ -27,6 +27,8 @@ from hazgrid.llm import common as C
 BYTE_BPE = f"{C.TOKENIZER_DIR}/byte_bpe_50k.json"
 #: The pattern of byte-level pre-tokenisation; white space is Unicode's property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: Unicode's White_Space.
+WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 NONE = np.int64(1 << 40)
 
 
@@ -107,12 +109,17 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes texts with a cache of words; own: by merge rounds here, else by the tokenizers library."""
+    """Encodes texts with a cache of their chunks; by merge rounds here, or by the tokenizers library.
 
-    def __init__(self, path: str = BYTE_BPE, library: bool = False, most_words: int = 400_000, most_bytes: int = 32 << 20):
+    A chunk is what lies between spaces, with the space before it; the pattern always cuts before a space that a
+    character other than white space follows. Texts with other spaces are cut by the pattern itself.
+    Keys: "x" for the chunk " x", and "x " for a chunk "x" that has no space before it (the first, or a word by the pattern).
+    """
+
+    def __init__(self, path: str = BYTE_BPE, library: bool = False, most_chunks: int = 800_000, most_chars: int = 24 << 20):
         import regex
 
-        self.vocabulary, self.most_words, self.most_bytes = Vocabulary(path), most_words, most_bytes
+        self.vocabulary, self.most_chunks, self.most_chars = Vocabulary(path), most_chunks, most_chars
         self.find = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.vocabulary.special, key=len, reverse=True))) + ")").split if self.vocabulary.special else None
         self.library = None
@@ -123,45 +130,92 @@ class Encoder:
             self.library = Tokenizer.from_file(path)
             self.library.no_truncation()
             self.library.no_padding()
-        self.clear()
-
-    def clear(self) -> None:
         special = list(self.vocabulary.special.values())
         self.codes: dict[str | int, int] = {i: n for n, i in enumerate(special)}
-        self.ids = np.array(special, np.int64)
-        self.n = np.ones(len(special), np.int64)
-        self.n_bytes = 0
-
-    def pieces(self, text: str) -> list[str | int]:
-        if self.split is None or not any(s in text for s in self.vocabulary.special):
-            return self.find(text)
-        return list(chain.from_iterable([self.vocabulary.special[x]] if x in self.vocabulary.special else self.find(x) for x in self.split(text)))
-
-    def learn(self, words: list[str]) -> None:
+        self.ids, self.n = np.array(special, np.int32), np.ones(len(special), np.int64)
+        self.odd, self.uses = np.zeros(len(special), bool), np.zeros(len(special), np.int64)
+        self.n_special, self.n_chars = len(special), 0
+
+    def forget(self) -> None:
+        """Keeps the half of the cache that is used most, without long chunks."""
+        often = max(2, int(np.partition(self.uses, -self.most_chunks // 2)[-self.most_chunks // 2]) + 1 if len(self.uses) > self.most_chunks // 2 else 0)
+        keys = list(self.codes)
+        keep = [i for i, (k, u) in enumerate(zip(keys, self.uses.tolist(), strict=True)) if i < self.n_special or (u >= often and len(k) < 200)]
+        at = np.array(keep, np.int64)
+        self.ids = self.ids[gather((np.cumsum(self.n) - self.n)[at], self.n[at])]
+        self.n, self.odd, self.uses = self.n[at], self.odd[at], self.uses[at] >> 1
+        self.codes = {keys[i]: n for n, i in enumerate(keep)}
+        self.n_chars = sum(len(k) for k in self.codes if isinstance(k, str))
+
+    def chunks(self, text: str, by_pattern: bool) -> list[str | int]:
+        if self.split is not None and any(s in text for s in self.vocabulary.special):
+            return list(chain.from_iterable([self.vocabulary.special[x]] if x in self.vocabulary.special else self.plain(x, by_pattern) for x in self.split(text)))
+        return self.plain(text, by_pattern)
+
+    def plain(self, text: str, by_pattern: bool) -> list[str | int]:
+        if by_pattern:
+            return [w[1:] if len(w) > 1 and w[0] == " " and w[1] not in WHITE else w + " " for w in self.find(text)]
+        out = text.split(" ")
+        out[0] += " "
+        return out
+
+    def learn(self, keys: list[str]) -> None:
+        odd = np.array([not k or (k[0] in WHITE and k[-1] != " ") for k in keys], bool)
         if self.library is not None:
-            got = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
-            n, ids = np.array([len(x) for x in got], np.int64), np.fromiter(chain.from_iterable(got), np.int64)
+            ids, n = self.by_library(keys, odd)
         else:
-            ids, n = self.vocabulary.merge_words([w.encode() for w in words])
-        self.codes.update(zip(words, range(len(self.codes), len(self.codes) + len(words)), strict=True))
+            cut = [[] if o else self.find(k[:-1] if k[-1] == " " else " " + k) for k, o in zip(keys, odd.tolist(), strict=True)]
+            words = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(cut)))}
+            of_words, n_words = self.vocabulary.merge_words([w.encode() for w in words]) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            flat = np.fromiter(map(words.__getitem__, chain.from_iterable(cut)), np.int64)
+            ids = of_words[gather((np.cumsum(n_words) - n_words)[flat], n_words[flat])].astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(n_words[flat])])[np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)]
+            n = np.diff(ends)
+        self.codes.update(zip(keys, range(len(self.codes), len(self.codes) + len(keys)), strict=True))
         self.ids, self.n = np.concatenate([self.ids, ids]), np.concatenate([self.n, n])
-        self.n_bytes += sum(map(len, words))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and where each text's begin, and the end."""
-        cut = [self.pieces(t) for t in texts]
+        self.odd, self.uses = np.concatenate([self.odd, odd]), np.concatenate([self.uses, np.zeros(len(keys), np.int64)])
+        self.n_chars += sum(map(len, keys))
+
+    def by_library(self, keys: list[str], odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of each chunk. Those with a space before them are encoded as one text, which it cuts where they join."""
+        spaced = [i for i, (k, o) in enumerate(zip(keys, odd.tolist(), strict=True)) if not o and k[-1] != " "]
+        rest = [i for i, k in enumerate(keys) if k and k[-1] == " "]
+        first = self.library.encode_batch_fast([keys[i][:-1] for i in rest], add_special_tokens=False)
+        joined = self.library.encode_batch_fast(["".join(" " + keys[i] for i in spaced)], add_special_tokens=False)[0].ids
+        ends = np.cumsum([len(keys[i].encode()) + 1 for i in spaced])
+        n = np.zeros(len(keys), np.int64)
+        n[spaced] = np.diff(np.searchsorted(np.cumsum(self.vocabulary.byte_n[joined]), ends), prepend=-1)
+        n[rest] = [len(e.ids) for e in first]
+        ids = np.zeros(int(n.sum()), np.int32)
+        starts = np.cumsum(n) - n
+        ids[gather(starts[spaced], n[spaced])] = joined
+        ids[gather(starts[rest], n[rest])] = list(chain.from_iterable(e.ids for e in first))
+        return ids, n
+
+    def coded(self, cut: list[list[str | int]]) -> np.ndarray:
         flat = list(chain.from_iterable(cut))
         new = set(flat).difference(self.codes)
-        if len(self.codes) + len(new) > self.most_words or self.n_bytes > self.most_bytes:
-            self.clear()
+        if len(self.codes) + len(new) > self.most_chunks or self.n_chars > self.most_chars:
+            self.forget()
             new = set(flat).difference(self.codes)
         if new:
             self.learn(sorted(new))
-        codes = np.fromiter(map(self.codes.__getitem__, flat), np.int64, len(flat))
-        starts = np.cumsum(self.n) - self.n
+        return np.fromiter(map(self.codes.__getitem__, flat), np.int64, len(flat))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text's begin, and the end."""
+        cut = [self.chunks(t, False) if t else [] for t in texts]
+        codes = self.coded(cut)
+        ends = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)
+        odd = np.flatnonzero(self.odd[codes])
+        if len(odd):
+            for i in np.unique(np.searchsorted(ends, odd, side="right") - 1).tolist():
+                cut[i] = self.chunks(texts[i], True)
+            codes = self.coded(cut)
+            ends = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)
+        self.uses += np.bincount(codes, minlength=len(self.uses))
         n = self.n[codes]
-        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)]
-        return self.ids[gather(starts[codes], n)], ends
+        return self.ids[gather((np.cumsum(self.n) - self.n)[codes], n)], np.concatenate([[0], np.cumsum(n)])[ends]
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
         """Texts of runs of ids; bytes that aren't UTF-8 become U+FFFD."""
