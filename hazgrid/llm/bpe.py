@@ -244,7 +244,7 @@ def round_trip(docs: DataFrame, path: str = BYTE_BPE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for part in C.cut(batches):
+        for part in C.cut(batches, most=4 << 20):
             ids, ends = e.encode(C.texts(part).to_pylist())
             raw = ids.astype("<u4").tobytes()
             yield C.made(
@@ -261,7 +261,7 @@ def encode_documents(docs: DataFrame, path: str = BYTE_BPE, out: str = "ids") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for part in C.cut(batches):
+        for part in C.cut(batches, most=4 << 20):
             ids, ends = e.encode(C.texts(part).to_pylist())
             kept = {n: part.column(n) for n in part.schema.names if n != out} | {out: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))}
             yield pa.RecordBatch.from_arrays(list(kept.values()), names=list(kept))

@@ -113,7 +113,7 @@ def write_shards(docs: DataFrame, folder: str, layout: Layout = Layout()) -> lis
         shard, e, writer, docs_in = TaskContext.get().partitionId(), bpe.encoder(layout.tokenizer, library=True), None, 0
         fs, root = C.filesystem(folder)
         own = f"{root}/.{uuid.uuid4().hex}"
-        for part in C.cut(batches):
+        for part in C.cut(batches, most=4 << 20):
             if writer is None:
                 sink, index_sink = fs.open_output_stream(f"{own}.arrow"), fs.open_output_stream(f"{own}.index.arrow")
                 writer, index = ShardWriter(sink, e.vocabulary.size, layout), pa.ipc.new_file(index_sink, INDEX)
