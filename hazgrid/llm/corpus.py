@@ -89,11 +89,13 @@ class Block:
 
 def each_block(corpus: Corpus, run: Callable[[Block], Iterator[pa.Table] | pa.Table], schema: str, answers: DataFrame | None = None) -> DataFrame:
     """run(block), or run(block, its answers), for every block."""
-    folder, blocks = corpus.folder, corpus.texts.select("file", "row", "digest", "many", "tid").groupBy("file")
+    # Numbers of partitions are set, since AQE would join them by their few bytes; what a block costs is its texts.
+    n = min(4 * corpus.n_files, max(4 * C.partitions(corpus.rows.sparkSession), corpus.n_files)) or 1
+    folder, blocks = corpus.folder, corpus.texts.select("file", "row", "digest", "many", "tid").repartition(n, "file").groupBy("file")
     if answers is None:
         return blocks.applyInArrow(lambda t: run(Block(folder, t)), schema)
     empty = C.arrow_schema(schema).empty_table()
-    return blocks.cogroup(answers.groupBy("file")).applyInArrow(lambda t, a: run(Block(folder, t), a) if t.num_rows else empty, schema)
+    return blocks.cogroup(answers.repartition(n, "file").groupBy("file")).applyInArrow(lambda t, a: run(Block(folder, t), a) if t.num_rows else empty, schema)
 
 
 def packed(keys: np.ndarray, check: np.ndarray | None, counts: np.ndarray) -> bytes:
@@ -155,7 +157,7 @@ def exchanged(corpus: Corpus, keys_of: Callable[[Block], tuple[np.ndarray, np.nd
         ends = np.cumsum([len(s[0]) for s in sent])
         return pa.table({"file": table["file"], "part": table["part"], "answer": pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(reply, ends[:-1])], pa.binary())})
 
-    return each_block(corpus, send, "part long, file string, blob binary").groupBy("part").applyInArrow(count, "file string, part long, answer binary")
+    return each_block(corpus, send, "part long, file string, blob binary").repartition(parts, "part").groupBy("part").applyInArrow(count, "file string, part long, answer binary")
 
 
 def answered(answers: pa.Table) -> np.ndarray:
