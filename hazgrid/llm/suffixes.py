@@ -114,38 +114,39 @@ def segments_of(part: K.Part, s: Strings) -> Segments:
     least = sliding_least(grams >> POSITION << POSITION | every.astype(U), s.size - s.gram + 1)[strings[0]]
     begins = np.flatnonzero(np.diff(least, prepend=U(2**64 - 1)))
     anchor = (least[begins] & U((1 << 30) - 1)).astype(np.int64)
-    return Segments(data, at, grams[anchor], strings[1][begins], strings[0][begins], np.diff(np.append(begins, len(least))))
+    # Least hashes are all small; keys are dealt by their leading bits, so they are mixed again.
+    return Segments(data, at, B.mixed(grams[anchor], 21), strings[1][begins], strings[0][begins], np.diff(np.append(begins, len(least))))
 
 
 def remove_repeats(docs: DataFrame, s: Strings = Strings(), with_bytes: bool = True) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, the digest of the kept bytes, and those (null unless asked for)."""
     corpus = K.corpus_of(docs, "bytes")
-    parts, size = corpus.parts, s.size
+    parts, size = 4 * corpus.parts, s.size
 
-    def keys_of(block: K.Block):
+    def segmented(block: K.Block) -> list[tuple[K.Part, Segments]]:
+        return [(part, segments_of(part, s)) for part in block.parts()]
+
+    def keys_in(held: list[tuple[K.Part, Segments]]):
         keys, counts = [np.zeros(0, U)], [np.zeros(0, np.uint8)]
-        for part in block.parts():
-            g = segments_of(part, s)
-            k, _, n, _ = K.distinct(g.gram, None, np.where(part.many[g.text], 2, 1))
-            keys.append(k), counts.append(n)
+        for part, g in held:
+            keys.append(g.gram), counts.append(np.where(part.many[g.text], 2, 1))
         return K.distinct(np.concatenate(keys), None, np.concatenate(counts))[:3]
 
-    def repeated_segments(block: K.Block, answers: pa.Table):
+    def repeated_segments(held: list[tuple[K.Part, Segments]], answers: pa.Table):
         """Parts with their segments whose grams repeat; each as (gram, its bytes, text in the part, first byte in the text)."""
         total = K.answered(answers)
-        keys = keys_of(block)[0][total > 1]
+        keys = keys_in(held)[0][total > 1]
         none = np.zeros(len(keys), np.uint32)
-        for part in block.parts():
-            g = segments_of(part, s)
+        for part, g in held:
             raw = g.data.tobytes()
             keep = np.flatnonzero(member(g.gram, np.zeros(len(g.gram), np.uint32), keys, none))
             first, end = g.first[keep], g.first[keep] + g.n[keep] + (size - 1)
-            yield part, g, [(k, raw[a:b], t, f) for k, a, b, t, f in zip(g.gram[keep].tolist(), first.tolist(), end.tolist(), g.text[keep].tolist(), (first - g.at[g.text[keep]]).tolist(), strict=True)]
+            yield part, [(k, raw[a:b], t, f) for k, a, b, t, f in zip(g.gram[keep].tolist(), first.tolist(), end.tolist(), g.text[keep].tolist(), (first - g.at[g.text[keep]]).tolist(), strict=True)]
 
     def send(block: K.Block, answers: pa.Table) -> pa.Table:
         """Each distinct segment of a block once, with how often it is there."""
         held: dict[bytes, list] = {}
-        for part, _, segments in repeated_segments(block, answers):
+        for part, segments in repeated_segments(segmented(block), answers):
             for gram, own, t, f in segments:
                 n = 2 if part.many[t] else 1
                 if own in held:
@@ -207,15 +208,16 @@ def remove_repeats(docs: DataFrame, s: Strings = Strings(), with_bytes: bool = T
         of = answers["part"].to_numpy()
         marks = np.concatenate([np.zeros((0, 3), np.int64), *(np.frombuffer(b, "<u4").reshape(-1, 3).astype(np.int64) for b in answers.filter(pa.array(of < 0))["answer"].to_pylist())])
         held: dict[bytes, list] = {}
-        for part, _, segments in repeated_segments(block, answers.filter(pa.array(of >= 0))):
+        segments_held = segmented(block)
+        for part, segments in repeated_segments(segments_held, answers.filter(pa.array(of >= 0))):
             for _, own, t, f in segments:
                 held.setdefault(hashlib.blake2b(own, digest_size=16).digest(), []).append((int(part.rows[t]), f, f + len(own) - (size - 1)))
         local = [x for same in held.values() if len(same) > 1 for x in same]
         marks = np.concatenate([marks, np.array(local, np.int64).reshape(-1, 3)])
         marks = marks[np.argsort(marks[:, 0], kind="stable")]
         out = []
-        for part in block.parts():
-            data, at = C.data_of(part.text)
+        for part, g in segments_held:
+            data, at = g.data, g.at
             lo, hi = np.searchsorted(marks[:, 0], [part.rows[0], part.rows[-1] + 1])
             mine = marks[lo:hi]
             base = at[:-1][np.searchsorted(part.rows, mine[:, 0])]
@@ -229,8 +231,8 @@ def remove_repeats(docs: DataFrame, s: Strings = Strings(), with_bytes: bool = T
             out.append(cut_bytes(part, data, at, gone, with_bytes))
         return pa.Table.from_batches(out, schema=RESULT)
 
-    answers = C.written(K.exchanged(corpus, keys_of), "grams")
-    marks = K.each_block(corpus, send, "part long, file string, blob binary", answers).groupBy("part").applyInArrow(match, "file string, part long, answer binary")
+    answers = C.written(K.exchanged(corpus, lambda block: keys_in(segmented(block))), "grams")
+    marks = K.each_block(corpus, send, "part long, file string, blob binary", answers).repartition(parts, "part").groupBy("part").applyInArrow(match, "file string, part long, answer binary")
     return K.by_document(corpus, K.each_block(corpus, remove, "digest binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", answers.unionByName(marks)))
 
 
