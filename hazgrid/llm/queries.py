@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hazgrid.llm import common as C
+from hazgrid.llm.oracle import ORACLES
 from hazgrid.llm import bpe, jaccard, media, mixing, pii, quality, substrings, suffixes, token_files, urls
 
 
@@ -55,10 +56,10 @@ def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(C.table(spark, sf_dir, "pages"), urls.outcomes_of(C.table(spark, sf_dir, "labels"))).select("page_id", "host", "path", "rule", "verdict", "n_labelled", "n_bad")
 
 
+__all__ = ["ORACLES", "QUERIES"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_count_min_substrings, op2_pii_anchors, op3_arrow_token_files, op4_cube_mixing, op5_bpe_merge_rounds, op6_suffix_levels, op7_combination_jaccard, op8_quality_fertility, op9_telephony_media, op10_host_reputation,
     )
 }
-ORACLES: dict[str, str] = {}
