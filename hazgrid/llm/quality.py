@@ -29,7 +29,13 @@ class Band:
 
     chars_per_token: tuple[float, float]
     byte_share: float
-    entropy: tuple[float, float] = (5.35, 14.0)
+    #: The least entropy is that of LEAST_BITS for the text's length, and this more.
+    more_bits: float = 0.0
+    most_bits: float = 14.0
+
+
+#: Least entropy of the tokens of prose, by the number of tokens: more tokens show more of a language. Between them the logarithm counts.
+LEAST_BITS = ((32, 3.6), (64, 4.6), (115, 5.25), (184, 5.6), (345, 5.92), (690, 6.14), (1380, 6.32), (2760, 6.45), (6900, 6.54))
 
 
 @dataclass(frozen=True)
@@ -38,15 +44,15 @@ class QualityRules:
     min_words: int = 50
     max_repeat_percent: int = 50
     by_language: dict[str, Band] = field(default_factory=lambda: {
-        "en": Band((1.80, 9.0), 0.2),
-        "de": Band((1.95, 9.0), 0.2),
-        "fr": Band((1.60, 9.0), 0.2),
-        "es": Band((1.72, 9.0), 0.2),
+        "en": Band((1.62, 9.0), 0.2, 0.08),
+        "de": Band((1.70, 9.0), 0.2, 0.03),
+        "fr": Band((1.42, 9.0), 0.2),
+        "es": Band((1.52, 9.0), 0.2, 0.03),
     })
     by_script: dict[str, Band] = field(default_factory=lambda: {
         "latin": Band((1.40, 9.0), 0.3),
-        "cjk": Band((0.25, 4.0), 0.9),
-        "other": Band((0.40, 6.0), 0.8),
+        "cjk": Band((0.25, 4.0), 0.9, -1.0),
+        "other": Band((0.40, 6.0), 0.8, -1.5),
     })
 
 
@@ -121,12 +127,15 @@ class Judge:
         some = np.maximum(n, 1)
         out |= {"n_tokens": n.astype(np.int64), "chars_per_token": points / some, "byte_share": fallen / some, "token_entropy": bits}
         langs = batch.column("lang").to_pylist() if "lang" in batch.schema.names else [None] * len(strings)
-        out["kept"] = np.array([not failed and self.within(lang, string, c, b, h) for failed, lang, string, c, b, h in zip(out["base_failed"], langs, strings, out["chars_per_token"], out["byte_share"], bits, strict=True)], bool)
+        floor = np.interp(np.log2(some), np.log2([n for n, _ in LEAST_BITS]), [b for _, b in LEAST_BITS])
+        figures = zip(out["base_failed"].tolist(), langs, strings, out["chars_per_token"].tolist(), out["byte_share"].tolist(), (bits - floor).tolist(), bits.tolist(), strict=True)
+        out["kept"] = np.array([not failed and self.within(lang, string, *rest) for failed, lang, string, *rest in figures], bool)
         return out
 
-    def within(self, lang: str | None, text: str, chars: float, share: float, bits: float) -> bool:
+    def within(self, lang: str | None, text: str, chars: float, share: float, above: float, bits: float) -> bool:
+        """above: the entropy less the least for the text's length."""
         band = self.rules.by_language.get(lang) or self.rules.by_script[script_of(text)]
-        return band.chars_per_token[0] <= chars <= band.chars_per_token[1] and share <= band.byte_share and band.entropy[0] <= bits <= band.entropy[1]
+        return band.chars_per_token[0] <= chars <= band.chars_per_token[1] and share <= band.byte_share and above >= band.more_bits and bits <= band.most_bits
 
 
 _JUDGES: dict[str, Judge] = {}

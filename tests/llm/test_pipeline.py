@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as P
@@ -44,7 +45,8 @@ def test_stages_and_run(spark, folder):
     for i, r in rows_of(docs).items():
         n, chars, _, _, repeat = quality_brute(r["text"])
         tokens, fallen, bits = (x[0] for x in judge.fertility([r["text"] or ""]))
-        fine = n >= 50 and 100 * repeat <= 50 * n and judge.within(r["lang"], r["text"] or "", chars / max(1, tokens), fallen / max(1, tokens), bits)
+        least = np.interp(np.log2(max(1, tokens)), np.log2([k for k, _ in quality.LEAST_BITS]), [b for _, b in quality.LEAST_BITS])
+        fine = n >= 50 and 100 * repeat <= 50 * n and judge.within(r["lang"], r["text"] or "", chars / max(1, tokens), fallen / max(1, tokens), bits - least, bits)
         assert (i in kept) == fine, i
     assert 30 < len(kept) < docs.count()
 
