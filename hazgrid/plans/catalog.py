@@ -36,7 +36,7 @@ def partials(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return moments.fuse(partials(spark, sf_dir))
+    return moments.cells_of(in_map(spark, sf_dir), X.LATTICE)
 
 
 def fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def rebin_partials(spark, sf_dir):
 
 
 def fuse_moments(spark, sf_dir):
-    return cells(spark, sf_dir).select(*CELL, *MOMENTS)
+    return moments.fuse(partials(spark, sf_dir)).select(*CELL, *MOMENTS)
 
 
 def retract_keyframe(spark, sf_dir):
@@ -149,7 +149,7 @@ def sparse_update(spark, sf_dir):
 
 def apply_sparse_update(spark, sf_dir):
     """A snapshot of early keyframes, then changed cells of all of them; some cells are cleared."""
-    early = moments.fuse(partials(spark, sf_dir).where("kf_id < 20")).withColumn("border", F.least(F.col("n") / 3, F.lit(1.0)))
+    early = moments.cells_of(in_map(spark, sf_dir).where("kf_id < 20"), X.LATTICE).withColumn("border", F.least(F.col("n") / 3, F.lit(1.0)))
     late = cells(spark, sf_dir).where("ci % 3 = 0").withColumn("border", F.least(F.col("n") / 3, F.lit(1.0)))
     cleared = late.withColumns({"n": F.when(F.col("cj") % 5 != 0, F.col("n")), "border": F.when(F.col("cj") % 5 != 0, F.col("border"))})
     grid = feed.applied(update_of(early, 1, True).unionByName(update_of(cleared, 2, False)))
@@ -235,7 +235,7 @@ def one_shot_cloud(spark, sf_dir):
     """A static cloud as one keyframe at the origin: pruning off, binned once."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.lit(0).cast("long").alias("kf_id"), *[(F.floor(F.element_at("embedding", i + 1).cast("double") * 640) / 64.0).alias(c) for i, c in enumerate("xyz")])
     kept = points.prune(e, robot_height=1e9, max_range=1e9, min_range=0.0).withColumn("map_id", F.lit(0).cast("long"))
-    return moments.fuse(moments.rebin(kept, X.LATTICE)).select(*CELL, *MOMENTS)
+    return moments.cells_of(kept, X.LATTICE).select(*CELL, *MOMENTS)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
