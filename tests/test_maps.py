@@ -170,16 +170,17 @@ def test_outputs(spark):
     assert sorted(tuple(r) for r in outputs.merged([a, b]).collect()) == [(0, 0, 100), (1, 0, 100), (2, 0, 100)]
 
 
-def test_time_joins_equal_brute_force(spark):
-    r = random.Random(4)
+@pytest.mark.parametrize("span", [asof.SPAN, 7, 1])
+def test_time_joins_equal_brute_force(spark, span):
+    r = random.Random(span)
     left = [(r.randrange(3), r.randrange(40), i) for i in range(60)]
     right = [(r.randrange(2), r.randrange(40), 100 + i) for i in range(25)]
     kind = "source long, t long, seq long"
     l, q = spark.createDataFrame(left, kind), spark.createDataFrame(right, kind)
-    for x in asof.nearest(l, q).collect():
+    for x in asof.nearest(l, q, span=span).collect():
         want = min(((abs(t - x["t"]), s) for o, t, s in right if o == x["source"]), default=(None, None))[1]
         assert x["hit_seq"] == want
-    for x in asof.latest_before(l, q).collect():
+    for x in asof.latest_before(l, q, span=span).collect():
         mine = [(t, s) for o, t, s in right if o == x["source"]]
         assert x["hit_seq"] == max([m for m in mine if m[0] <= x["t"]] or mine, default=(None, None))[1]
     pairs = asof.mutual_nearest(l, q, 3).collect()
