@@ -76,6 +76,8 @@ class MapEngine:
         if not self.keep_clouds:
             now = now.join(partials.select("kf_id").distinct(), "kf_id", "left_anti").unionByName(now.where("op = 'delete'")).distinct()
         now = kept(now, "events")
+        known = self.state(before, "poses", EVENTS)
+        kept(known.join(now.select("kf_id"), "kf_id", "left_anti").select(*known.columns).unionByName(now.where("op = 'pose'").select(*known.columns)), "poses")
         posed = now.where("op = 'pose'").select("kf_id", "map_id", *AFFINE)
         old = partials.join(now.select("kf_id"), "kf_id", "left_semi")
         new = kept(moments.rebin(points.to_map(self.cloud, posed), self.lattice).select(*partials.columns), "new")
@@ -94,6 +96,11 @@ class MapEngine:
         if self.on_update is not None:
             self.on_update(batch)
 
+    def loop_closed(self, batch: int, map_id: int = 0) -> None:
+        """A batch that bins all keyframes of a map anew at their latest poses, so that all of its cells are in the feed."""
+        poses = self.state(self.latest(), "poses", EVENTS).where(F.col("map_id") == map_id)
+        self.process(poses.withColumn("seq", F.col("seq") + 1), batch)
+
     def rebuild(self, poses: DataFrame) -> DataFrame:
         """The cells of one batch run over poses (kf_id, map_id and pose columns)."""
         return moments.fuse(moments.rebin(points.to_map(self.cloud, poses), self.lattice))
@@ -108,6 +115,37 @@ class MapEngine:
         return old.select("kf_id", F.lit(seq).cast("long").alias("seq"), F.lit("delete").alias("op"), "map_id", *[F.lit(0.0).alias(c) for c in AFFINE])
 
 
+@dataclass
+class Publisher:
+    """Sparse updates for consumers: what changed since the last drain, or a snapshot once armed.
+
+    It starts armed. Without consumers a publish drains and arms again; a snapshot does not drain, so the next delta may repeat cells.
+    """
+
+    engine: MapEngine
+    layers: tuple[str, ...] = ("hazard", "elevation")
+    drained: int = -1
+    armed: bool = True
+
+    def publish(self, consumers: bool = True) -> DataFrame | None:
+        latest = self.engine.latest()
+        if not consumers:
+            self.drained, self.armed = latest, True
+            return None
+        if self.armed:
+            self.armed = False
+            return feed.encoded(self.engine.hazards(), list(self.layers), self.engine.lattice, is_full=True)
+        begin, self.drained = self.drained + 1, latest
+        changed = None
+        for batch in range(begin, latest + 1):
+            now = self.engine.changes(batch).select(*CELL).distinct()
+            changed = now if changed is None else changed.union(now).distinct()
+        if changed is None or changed.isEmpty():
+            return None
+        # The state as of now, whatever it was when the cell changed; cells that went have no values.
+        return feed.encoded(changed.join(self.engine.hazards(), CELL, "left"), list(self.layers), self.engine.lattice, is_full=False)
+
+
 def buffered(clouds: DataFrame, span_us: int = 25_000_000, keep_us: int = 5_000_000) -> DataFrame:
     """What a source's buffer keeps: once it spans more than span_us, rows of the last keep_us only."""
     ends = clouds.groupBy("source").agg(F.min("t").alias("_a"), F.max("t").alias("_b"))

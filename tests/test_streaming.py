@@ -87,3 +87,39 @@ def test_buffer(spark):
     rows_of = [(0, t, t) for t in range(0, 40, 4)] + [(1, t, t) for t in range(0, 20, 4)]
     kept = E.buffered(spark.createDataFrame(rows_of, "source long, t long, seq long"), 25, 5)
     assert sorted((r["source"], r["t"]) for r in kept.collect()) == [(0, 32), (0, 36), *[(1, t) for t in range(0, 20, 4)]]
+
+
+def test_publishing(spark, tmp_path):
+    engine = made(spark, tmp_path / "state")
+    publisher = E.Publisher(engine, layers=("n", "border"))
+    send = lambda batch, *events: engine.process(spark.createDataFrame(list(events), E.EVENTS), batch)
+    consumer = []
+
+    def take():
+        u = publisher.publish()
+        if u is None:
+            return None
+        consumer.append(u.selectExpr("map_id", f"cast({len(consumer)} as long) seq", "is_full", "resolution", "origin_x", "origin_y", "layers", "cell_keys", "`values`").collect()[0])
+        return consumer[-1]
+
+    def held():
+        from hazgrid.operators import feed
+        from hazgrid.sources.readers import UPDATES
+
+        grid = feed.applied(spark.createDataFrame([tuple(c) for c in consumer], UPDATES))
+        return sorted((r["ci"], r["cj"], r["value"]) for r in grid.where("layer = 'n'").collect())
+
+    now = lambda: sorted((r["ci"], r["cj"], float(r["n"])) for r in engine.cells().collect())
+    send(0, event(0, 1), event(1, 1, tx=1.0))
+    assert take()["is_full"] and held() == now()
+    assert not take()["is_full"] and held() == now()  # the snapshot did not drain
+    assert take() is None
+    send(1, event(1, 2, op="delete"))
+    send(2, event(0, 2, tx=0.5))
+    u = take()
+    assert not u["is_full"] and held() == now()
+    assert publisher.publish(consumers=False) is None
+    send(3, event(2, 1))
+    assert take()["is_full"] and held() == now()
+    engine.loop_closed(4)
+    assert engine.changes(4).where("observed").count() >= engine.cells().count() and held() == now()
