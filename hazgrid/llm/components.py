@@ -32,7 +32,8 @@ def components(links: DataFrame) -> DataFrame:
     e = C.written(links.select("u", "v").where("u <> v").distinct(), "links")
     seen = None
     while True:
-        e = C.written(small_star(large_star(e)).where("u <> v").distinct(), "links")
+        before, e = e, C.written(small_star(large_star(e)).where("u <> v").distinct(), "links")
+        C.discard(links.sparkSession, before.written_at)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == seen:
             break

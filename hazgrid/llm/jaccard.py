@@ -112,7 +112,8 @@ def sets_of(corpus: K.Corpus, join: Join) -> DataFrame:
 def hub_pairs(sets: DataFrame) -> DataFrame:
     """a, b: each text with the hubs of its keys."""
     keyed = sets.where("tokens is not null").select("tid", (F.col("own") / F.col("n")).alias("alone"), F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min(F.struct("alone", "tid"))["tid"].alias("b"), F.count("*").alias("c")).where("c > 1").drop("c")
+    # Written, so that the join has a plain exchange on either side, which AQE can split at a key of very many texts.
+    hubs = C.written(keyed.groupBy("key").agg(F.min(F.struct("alone", "tid"))["tid"].alias("b"), F.count("*").alias("c")).where("c > 1").drop("c"), "hubs")
     return keyed.join(hubs, "key").where("tid <> b").select(F.col("tid").alias("a"), "b").distinct()
 
 
@@ -172,7 +173,7 @@ def fits(join: Join) -> Column:
 def cross_pairs(sets: DataFrame, found: DataFrame, join: Join) -> DataFrame:
     """a, b: candidates of two components."""
     e = component_of(entries(sets, join), found)
-    several = e.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    several = C.written(e.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "keys")
     e = C.written(e.join(several, "key"), "entries")
     x, y = e.alias("x"), e.alias("y")
     return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & fits(join)).select(F.col("x.tid").alias("a"), F.col("y.tid").alias("b")).distinct()
@@ -180,14 +181,17 @@ def cross_pairs(sets: DataFrame, found: DataFrame, join: Join) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the least doc_id that links reach), and its text's digest."""
+    spark = docs.sparkSession
     corpus = K.corpus_of(docs, "shingles")
     sets = sets_of(corpus, join)
+    C.discard(spark, corpus.folder)
     links = C.written(verified(hub_pairs(sets), sets, join), "hub-links")
     more = verified(cross_pairs(sets, components(links), join), sets, join)
     found = components(links.unionByName(more))
     texts = component_of(corpus.texts.select("tid", "digest").join(sets.select("tid", "n"), "tid"), found)
     rows = C.written(corpus.rows.select("doc_id", "digest").join(texts, "digest"), "named")
-    names = rows.groupBy("component").agg(F.min("doc_id").alias("name"))
+    names = C.written(rows.groupBy("component").agg(F.min("doc_id").alias("name")), "names")
+    C.discard(spark, sets.written_at)
     return rows.join(names, "component").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"), "digest")
 
 
