@@ -108,6 +108,19 @@ class Vocabulary:
         return np.concatenate([*done_ids, ids])[order], np.bincount(every_word, minlength=len(words))
 
 
+class Codes(dict):
+    """Chunks by number; one that isn't there gets the next, and is listed as new."""
+
+    def __init__(self, known: dict):
+        super().__init__(known)
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        code = self[key] = len(self)
+        self.new.append(key)
+        return code
+
+
 class Encoder:
     """Encodes texts with a cache of their chunks; by merge rounds here, or by the tokenizers library.
 
@@ -131,7 +144,7 @@ class Encoder:
             self.library.no_truncation()
             self.library.no_padding()
         special = list(self.vocabulary.special.values())
-        self.codes: dict[str | int, int] = {i: n for n, i in enumerate(special)}
+        self.codes = Codes({i: n for n, i in enumerate(special)})
         self.ids, self.n = np.array(special, np.int32), np.ones(len(special), np.int64)
         self.odd, self.uses = np.zeros(len(special), bool), np.zeros(len(special), np.int64)
         self.n_special, self.n_chars = len(special), 0
@@ -144,7 +157,7 @@ class Encoder:
         at = np.array(keep, np.int64)
         self.ids = self.ids[gather((np.cumsum(self.n) - self.n)[at], self.n[at])]
         self.n, self.odd, self.uses = self.n[at], self.odd[at], self.uses[at] >> 1
-        self.codes = {keys[i]: n for n, i in enumerate(keep)}
+        self.codes = Codes({keys[i]: n for n, i in enumerate(keep)})
         self.n_chars = sum(len(k) for k in self.codes if isinstance(k, str))
 
     def chunks(self, text: str, by_pattern: bool) -> list[str | int]:
@@ -171,7 +184,6 @@ class Encoder:
             ids = of_words[gather((np.cumsum(n_words) - n_words)[flat], n_words[flat])].astype(np.int32)
             ends = np.concatenate([[0], np.cumsum(n_words[flat])])[np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)]
             n = np.diff(ends)
-        self.codes.update(zip(keys, range(len(self.codes), len(self.codes) + len(keys)), strict=True))
         self.ids, self.n = np.concatenate([self.ids, ids]), np.concatenate([self.n, n])
         self.odd, self.uses = np.concatenate([self.odd, odd]), np.concatenate([self.uses, np.zeros(len(keys), np.int64)])
         self.n_chars += sum(map(len, keys))
@@ -193,17 +205,16 @@ class Encoder:
         return ids, n
 
     def coded(self, cut: list[list[str | int]]) -> np.ndarray:
-        flat = list(chain.from_iterable(cut))
-        new = set(flat).difference(self.codes)
-        if len(self.codes) + len(new) > self.most_chunks or self.n_chars > self.most_chars:
-            self.forget()
-            new = set(flat).difference(self.codes)
-        if new:
-            self.learn(sorted(new))
-        return np.fromiter(map(self.codes.__getitem__, flat), np.int64, len(flat))
+        codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+        if self.codes.new:
+            self.learn(self.codes.new)
+            self.codes.new = []
+        return codes
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's begin, and the end."""
+        if len(self.codes) > self.most_chunks or self.n_chars > self.most_chars:
+            self.forget()
         cut = [self.chunks(t, False) if t else [] for t in texts]
         codes = self.coded(cut)
         ends = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)

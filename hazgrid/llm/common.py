@@ -54,6 +54,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partitions_of(df: DataFrame, most: int = 128 << 20) -> int:
+    """The session's shuffle partitions, or as many more as keep each at about `most` bytes of what the plan reads, by its own estimate."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # Plans of unknown size report huge ones.
+    return max(partitions(df.sparkSession), -(-size // most) if size < 1 << 56 else 0)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.StringArray:
     """The column as non-null 32-bit strings (null: empty)."""
     x = batch.column(column)

@@ -132,7 +132,7 @@ def write_shards(docs: DataFrame, folder: str, layout: Layout = Layout()) -> lis
 
     spark = docs.sparkSession
     C.make_folder(spark, folder)
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(C.partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(C.partitions_of(docs), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     # A row for each shard: its number and two counts.
     return sorted(tuple(r) for r in dealt.mapInArrow(run, "shard long, docs long, ids long").collect() if r["docs"])
 
