@@ -39,7 +39,7 @@ class Corpus:
         return max(2 * C.partitions(self.rows.sparkSession), 2 * self.n_files)
 
 
-def corpus_of(docs: DataFrame, name: str = "texts", per_file: int = 8192) -> Corpus:
+def corpus_of(docs: DataFrame, name: str = "texts", per_file: int = 4096) -> Corpus:
     spark = docs.sparkSession
     folder = C.fresh_path(spark, name)
     text = F.coalesce(docs["text"], F.lit(""))

@@ -140,26 +140,42 @@ def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     return both.select("a", "b", "m", "n", "left", "right").mapInArrow(run, "u long, v long")
 
 
-def entries(sets: DataFrame, join: Join) -> DataFrame:
-    """key, tid, n, room: an entry for each rare token and each combination of frequent tokens of a prefix; room: tokens from the first one's place on."""
-    kind = pa.schema([("key", pa.int64()), ("tid", pa.int64()), ("n", pa.int64()), ("room", pa.int64())])
+def prefixes(sets: DataFrame, join: Join) -> DataFrame:
+    """A row for each token of an extended prefix: key, tid, n, place, room (tokens from there on), whether it is in the plain prefix, and whether it is frequent."""
+    kind = C.arrow_schema("key long, tid long, n long, place long, room long, plain boolean, frequent boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for tid, n, own, tokens, counts in zip(*(batch.column(c) for c in ("tid", "n", "own", "tokens", "counts")), strict=True):
-                size, alone = n.as_py(), own.as_py()
-                token, count = np.frombuffer(tokens.as_buffer(), U), np.frombuffer(counts.as_buffer(), np.uint8)
-                prefix = min(len(token), size - join.need(size) + 1 - alone)
-                single = int(np.searchsorted(count[:prefix], join.rare, side="right"))
-                keys, rooms = [B.mixed(token[:single], 40)], [len(token) - np.arange(single)]
-                longer = token[single : prefix + 1]
-                for i in range(min(len(longer) - 1, prefix - single)):
-                    keys.append(B.mixed(B.mixed(longer[i : i + 1], 41) + longer[i + 1 :], 42))
-                    rooms.append(np.full(len(longer) - 1 - i, len(token) - single - i))
-                key = np.concatenate(keys)
-                yield C.made(kind, key=key.view(np.int64), tid=np.full(len(key), tid.as_py()), n=np.full(len(key), size), room=np.concatenate(rooms))
-
-    return sets.where("tokens is not null").select("tid", "n", "own", "tokens", "counts").mapInArrow(run, "key long, tid long, n long, room long")
+            tid, size, alone = (batch.column(c).to_numpy() for c in ("tid", "n", "own"))
+            shared = np.diff(C.offsets_of(batch.column("tokens"))) // 8
+            plain = np.minimum(shared, size - join.need(size) + 1 - alone)
+            longer = np.minimum(shared, plain + 1)
+            row = np.repeat(np.arange(len(tid)), longer)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(longer) - longer, longer)
+            raw = [np.frombuffer(x.as_buffer(), U, int(n)) for x, n in zip(batch.column("tokens"), longer, strict=True)]
+            counts = [np.frombuffer(x.as_buffer(), np.uint8, int(n)) for x, n in zip(batch.column("counts"), longer, strict=True)]
+            yield C.made(kind, key=np.concatenate(raw).view(np.int64), tid=tid[row], n=size[row], place=place, room=shared[row] - place, plain=place < plain[row], frequent=np.concatenate(counts) > join.rare)
+
+    return sets.where("tokens is not null").select("tid", "n", "own", "tokens", "counts").mapInArrow(run, "key long, tid long, n long, place long, room long, plain boolean, frequent boolean")
+
+
+def combined(tokens: DataFrame) -> DataFrame:
+    """An entry for each pair of frequent tokens of a text (key, tid, n, component, room), the first of them in its plain prefix."""
+    schema = "key long, tid long, n long, component long, room long"
+    kind = C.arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tid, n, component, held in zip(*(batch.column(c).to_pylist() for c in ("tid", "n", "component", "held")), strict=True):
+                token = np.array([h["key"] for h in held], np.int64).view(U)
+                for i, h in enumerate(held[:-1]):
+                    if not h["plain"]:
+                        break
+                    key = B.mixed(B.mixed(token[i : i + 1], 41) + token[i + 1 :], 42).view(np.int64)
+                    yield C.made(kind, key=key, **{k: np.full(len(key), v) for k, v in (("tid", tid), ("n", n), ("component", component), ("room", h["room"]))})
+
+    held = tokens.groupBy("tid", "n", "component").agg(F.array_sort(F.collect_list(F.struct("place", "key", "room", "plain"))).alias("held")).where(F.size("held") > 1)
+    return held.mapInArrow(run, schema)
 
 
 def component_of(tids: DataFrame, found: DataFrame) -> DataFrame:
@@ -170,11 +186,20 @@ def fits(join: Join) -> Column:
     return F.least("x.room", "y.room") * (100 + join.percent) >= join.percent * (F.col("x.n") + F.col("y.n"))
 
 
+def several(rows: DataFrame) -> DataFrame:
+    """Rows whose key more than one component has. The keys are written, so that the join has plain exchanges."""
+    keys = C.written(rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "keys")
+    return C.written(rows.join(keys, "key"), "entries")
+
+
 def cross_pairs(sets: DataFrame, found: DataFrame, join: Join) -> DataFrame:
-    """a, b: candidates of two components."""
-    e = component_of(entries(sets, join), found)
-    several = C.written(e.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "keys")
-    e = C.written(e.join(several, "key"), "entries")
+    """a, b: candidates of two components.
+
+    What two texts of different components share is in both their prefixes, so a token that the prefixes of one component have alone is left out, before tokens are combined.
+    """
+    tokens = several(component_of(prefixes(sets, join), found))
+    columns = ["key", "tid", "n", "component", "room"]
+    e = tokens.where("plain and not frequent").select(*columns).unionByName(several(combined(tokens.where("frequent"))).select(*columns))
     x, y = e.alias("x"), e.alias("y")
     return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & fits(join)).select(F.col("x.tid").alias("a"), F.col("y.tid").alias("b")).distinct()
 
