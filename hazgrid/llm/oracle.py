@@ -31,7 +31,8 @@ def strength(level: str) -> str:
 
 TWO = "('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.in', 'co.nz', 'com.cn', 'com.mx')"
 URLS = rf"""WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-  lab AS (SELECT doc_id AS page_id, max(greatest(1 - quality, toxic)) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id),
+  bad AS (SELECT doc_id, max(greatest(1 - quality, toxic)) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id),
+  lab AS (SELECT page_id, max(bad) AS bad FROM p JOIN bad ON try_cast(regexp_extract(path, '/([0-9]+)(?:\.[A-Za-z]+)?/?$', 1) AS BIGINT) = doc_id GROUP BY page_id),
   h AS (SELECT host, count(bad) AS n, CAST(coalesce(sum(bad), 0) AS BIGINT) AS bad FROM p LEFT JOIN lab USING (page_id) GROUP BY host),
   hs AS (SELECT *, CASE WHEN regexp_extract(host, '([^.]*\.[^.]*)$', 1) IN {TWO} THEN regexp_extract(host, '([^.]*\.[^.]*)$', 1) ELSE regexp_extract(host, '([^.]*)$', 1) END AS suffix FROM h),
   hd AS (SELECT *, substr(host, 1, greatest(length(host) - length(suffix) - 1, 0)) AS head FROM hs),

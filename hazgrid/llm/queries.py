@@ -53,7 +53,8 @@ def op9_telephony_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge_urls(C.table(spark, sf_dir, "pages"), urls.outcomes_of(C.table(spark, sf_dir, "labels"))).select("page_id", "host", "path", "rule", "verdict", "n_labelled", "n_bad")
+    pages = C.table(spark, sf_dir, "pages")
+    return urls.judge_urls(pages, urls.outcomes_of(pages, C.table(spark, sf_dir, "labels"))).select("page_id", "host", "path", "rule", "verdict", "n_labelled", "n_bad")
 
 
 __all__ = ["ORACLES", "QUERIES"]

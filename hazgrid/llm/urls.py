@@ -106,6 +106,12 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: UrlRules = UrlRules
     return named.join(by_host, "host").select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.col("n").alias("n_labelled"), F.col("bad").alias("n_bad"), "lower", "upper")
 
 
-def outcomes_of(labels: DataFrame) -> DataFrame:
-    """A page's outcome by the label of the same id: bad if of low quality or toxic."""
-    return labels.select(F.col("doc_id").alias("page_id"), F.greatest(1 - F.col("quality"), F.col("toxic")).cast("long").alias("bad"))
+def document_of(url: Column) -> Column:
+    """The number at the end of the path, before any suffix or slash: the document that the page shows. Null without one."""
+    return F.regexp_extract(path_of(url), r"/([0-9]+)(?:\.[A-Za-z]+)?/?$", 1).try_cast("long")
+
+
+def outcomes_of(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """page_id, bad: by the label of the document that a page shows, bad if of low quality or toxic (of several labels the worst)."""
+    bad = labels.groupBy(F.col("doc_id").alias("_document")).agg(F.max(F.greatest(1 - F.col("quality"), F.col("toxic")).cast("long")).alias("bad")).where("_document is not null and bad is not null")
+    return pages.select("page_id", document_of(F.col("url")).alias("_document")).join(bad, "_document").select("page_id", "bad")

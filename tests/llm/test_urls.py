@@ -43,6 +43,13 @@ def test_rules_and_parts(spark):
     assert urls.judge_urls(pages.limit(0), labels).count() == 0
 
 
+def test_outcomes_are_those_of_the_documents_shown(spark):
+    pages = spark.createDataFrame(list(enumerate(["http://a.b/en/12", "http://a.b/12.html?x=7", "http://a.b/x/12/", "http://a.b/12x", "http://a.b/" + "9" * 30, "http://a.b", None, "http://a.b/en/13#top", "http://a.b/14"])), "page_id long, url string")
+    labels = spark.createDataFrame([(12, 1, 1), (13, 1, 0), (13, 0, 0), (None, 0, 0), (14, None, 1)], "doc_id long, quality int, toxic int")
+    got = {x["page_id"]: x["bad"] for x in urls.outcomes_of(pages, labels).collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 7: 1} or got == {0: 1, 1: 1, 2: 1, 7: 1, 8: 1}
+
+
 def strength(counts):
     counts = [(n, b) for n, b in counts if n]
     g, t = len(counts), sum(n for n, _ in counts)
