@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """Batches of n rows at most for what is written within: rows with whole sets are large, and both sides of the pipe hold a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a table or folder in the shared folder that nothing reads any more."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -88,7 +101,10 @@ def cut(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 <
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = offsets_of(batch.column(column))
+        sized = batch.column(column)
+        if pa.types.is_large_string(sized.type) or pa.types.is_large_binary(sized.type):
+            sized = sized.cast(pa.string() if pa.types.is_large_string(sized.type) else pa.binary())
+        size = offsets_of(sized)
         size = size - size[0] + np.arange(len(size))
         row = 0
         while row < batch.num_rows:

@@ -122,7 +122,7 @@ def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
-        for batch in batches:
+        for batch in C.cut(batches, "left"):
             a, b, m, n = (batch.column(c).to_numpy() for c in ("a", "b", "m", "n"))
             left, right = batch.column("left"), batch.column("right")
             keep = np.zeros(len(a), bool)
@@ -145,7 +145,7 @@ def prefixes(sets: DataFrame, join: Join) -> DataFrame:
     kind = C.arrow_schema("key long, tid long, n long, place long, room long, plain boolean, frequent boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in C.cut(batches, "tokens", 4 << 20):
             tid, size, alone = (batch.column(c).to_numpy() for c in ("tid", "n", "own"))
             shared = np.diff(C.offsets_of(batch.column("tokens"))) // 8
             plain = np.minimum(shared, size - join.need(size) + 1 - alone)
@@ -166,13 +166,16 @@ def combined(tokens: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for tid, n, component, held in zip(*(batch.column(c).to_pylist() for c in ("tid", "n", "component", "held")), strict=True):
-                token = np.array([h["key"] for h in held], np.int64).view(U)
-                for i, h in enumerate(held[:-1]):
-                    if not h["plain"]:
-                        break
-                    key = B.mixed(B.mixed(token[i : i + 1], 41) + token[i + 1 :], 42).view(np.int64)
-                    yield C.made(kind, key=key, **{k: np.full(len(key), v) for k, v in (("tid", tid), ("n", n), ("component", component), ("room", h["room"]))})
+            held, own = batch.column("held"), [batch.column(c).to_numpy() for c in ("tid", "n", "component")]
+            at = C.offsets_of(held)
+            token, plain, room = (held.values.field(c).to_numpy(zero_copy_only=False) for c in ("key", "plain", "room"))
+            token = B.mixed(token.view(U), 43)
+            for row, (begin, end) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                # Places are in order, so those of the plain prefix come first.
+                firsts = min(int(plain[begin:end].sum()), end - begin - 1)
+                for i in range(begin, begin + firsts):
+                    key = B.mixed(B.mixed(token[i : i + 1], 41) + token[i + 1 : end], 42).view(np.int64)
+                    yield C.made(kind, key=key, room=np.full(len(key), room[i]), **{c: np.full(len(key), v[row]) for c, v in zip(("tid", "n", "component"), own, strict=True)})
 
     held = tokens.groupBy("tid", "n", "component").agg(F.array_sort(F.collect_list(F.struct("place", "key", "room", "plain"))).alias("held")).where(F.size("held") > 1)
     return held.mapInArrow(run, schema)
@@ -210,8 +213,11 @@ def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
     corpus = K.corpus_of(docs, "shingles")
     sets = sets_of(corpus, join)
     C.discard(spark, corpus.folder)
-    links = C.written(verified(hub_pairs(sets), sets, join), "hub-links")
-    more = verified(cross_pairs(sets, components(links), join), sets, join)
+    with C.arrow_rows(spark, 256):
+        links = C.written(verified(hub_pairs(sets), sets, join), "hub-links")
+    pairs = cross_pairs(sets, components(links), join)
+    with C.arrow_rows(spark, 256):
+        more = C.written(verified(pairs, sets, join), "more-links")
     found = components(links.unionByName(more))
     texts = component_of(corpus.texts.select("tid", "digest").join(sets.select("tid", "n"), "tid"), found)
     rows = C.written(corpus.rows.select("doc_id", "digest").join(texts, "digest"), "named")
