@@ -138,12 +138,12 @@ def bounds(keys: np.ndarray, parts: int, bits: int) -> np.ndarray:
     return np.searchsorted(part, np.arange(parts + 1).astype(U))
 
 
-def exchanged(corpus: Corpus, keys_of: Callable[[Block], tuple[np.ndarray, np.ndarray | None, np.ndarray]], bits: int = 64) -> DataFrame:
-    """file, part, answer: for what keys_of(block) gives, sorted and distinct as from `distinct`."""
+def exchanged(corpus: Corpus, keys_of: Callable[..., tuple[np.ndarray, np.ndarray | None, np.ndarray]], bits: int = 64, answers: DataFrame | None = None) -> DataFrame:
+    """file, part, answer: for what keys_of(block), or keys_of(block, its earlier answers), gives, sorted and distinct as from `distinct`."""
     parts = corpus.parts
 
-    def send(block: Block) -> pa.Table:
-        keys, check, counts = keys_of(block)
+    def send(block: Block, *earlier: pa.Table) -> pa.Table:
+        keys, check, counts = keys_of(block, *earlier)
         at = bounds(keys, parts, bits)
         full = [p for p in range(parts) if at[p + 1] > at[p]]
         blobs = [packed(keys[at[p] : at[p + 1]], None if check is None else check[at[p] : at[p + 1]], counts[at[p] : at[p + 1]]) for p in full]
@@ -157,7 +157,7 @@ def exchanged(corpus: Corpus, keys_of: Callable[[Block], tuple[np.ndarray, np.nd
         ends = np.cumsum([len(s[0]) for s in sent])
         return pa.table({"file": table["file"], "part": table["part"], "answer": pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(reply, ends[:-1])], pa.binary())})
 
-    return each_block(corpus, send, "part long, file string, blob binary").repartition(parts, "part").groupBy("part").applyInArrow(count, "file string, part long, answer binary")
+    return each_block(corpus, send, "part long, file string, blob binary", answers).repartition(parts, "part").groupBy("part").applyInArrow(count, "file string, part long, answer binary")
 
 
 def answered(answers: pa.Table) -> np.ndarray:

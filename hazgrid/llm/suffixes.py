@@ -9,6 +9,9 @@ batch of new strings is sorted into a suffix array (of suffixes cut to 400 bytes
 each existing level, and then carried like a binary counter: levels of equal size merge into one of twice the size. Strings met
 again are marked, with those they meet. Comparisons are of bytes, so the result is exact.
 
+A passage that very many texts quote has grams with very many segments, all different at its ends. Grams that reach the counter's end (255)
+are therefore not met by gram: their strings are counted in an exchange of their own, by 96 bits of hash, so that each is one entry of a block.
+
 A block sends equal segments once. Null texts are empty; texts shorter than 400 bytes lose nothing; equal texts are handled once
 and lose all if they are long enough. An empty table gives an empty table. Only doc_id and text are read.
 """
@@ -21,11 +24,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from hazgrid.llm import blocks as B
 from hazgrid.llm import common as C
 from hazgrid.llm import corpus as K
-from hazgrid.llm.substrings import member, sliding_least
+from hazgrid.llm.substrings import sliding_least
 
 U = np.uint64
 
@@ -36,6 +40,8 @@ class Strings:
     gram: int = 128
     #: Strings of a new batch.
     batch: int = 8192
+    #: Grams at as many places (the counter ends at 255) are very frequent.
+    hot: int = 255
 
 
 class SuffixLevels:
@@ -133,16 +139,29 @@ def remove_repeats(docs: DataFrame, s: Strings = Strings(), with_bytes: bool = T
         return K.distinct(np.concatenate(keys), None, np.concatenate(counts))[:3]
 
     def repeated_segments(held: list[tuple[K.Part, Segments]], answers: pa.Table):
-        """Parts with their segments whose grams repeat; each as (gram, its bytes, text in the part, first byte in the text)."""
+        """Parts with their segments whose grams repeat, but not very often; each as (gram, its bytes, text in the part, first byte in the text)."""
         total = K.answered(answers)
-        keys = keys_in(held)[0][total > 1]
-        none = np.zeros(len(keys), np.uint32)
+        keys = keys_in(held)[0][(total > 1) & (total < s.hot)]
         for part, g in held:
             raw = g.data.tobytes()
-            keep = np.flatnonzero(member(g.gram, np.zeros(len(g.gram), np.uint32), keys, none))
+            keep = np.flatnonzero(among(g.gram, keys))
             first, end = g.first[keep], g.first[keep] + g.n[keep] + (size - 1)
             yield part, [(k, raw[a:b], t, f) for k, a, b, t, f in zip(g.gram[keep].tolist(), first.tolist(), end.tolist(), g.text[keep].tolist(), (first - g.at[g.text[keep]]).tolist(), strict=True)]
 
+    def hot_strings(held: list[tuple[K.Part, Segments]], answers: pa.Table):
+        """For each part: the places of strings of very frequent grams; their keys, checks and counts, over all parts."""
+        hot = keys_in(held)[0][K.answered(answers) >= s.hot]
+        places, keys, checks, counts = [], [np.zeros(0, U)], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint8)]
+        for part, g in held:
+            keep = np.flatnonzero(among(g.gram, hot))
+            n = g.n[keep]
+            at = np.repeat(g.first[keep] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            places.append(at)
+            keys.append(B.run_hashes(g.data, at, at + size, 0xA24BAED4963EE407, 1))
+            checks.append((B.run_hashes(g.data, at, at + size, 0x9FB21C651E98DF25, 2) >> U(32)).astype(np.uint32))
+            counts.append(np.where(part.many[np.repeat(g.text[keep], n)], 2, 1))
+        return places, np.concatenate(keys), np.concatenate(checks), np.concatenate(counts)
+
     def send(block: K.Block, answers: pa.Table) -> pa.Table:
         """Each distinct segment of a block once, with how often it is there."""
         held: dict[bytes, list] = {}
@@ -202,21 +221,25 @@ def remove_repeats(docs: DataFrame, s: Strings = Strings(), with_bytes: bool = T
             if len(found):
                 out.setdefault(k, []).append(found)
         files = table["file"].to_pylist()
-        return pa.table([pa.array([files[k] for k in out], pa.string()), pa.array([-1] * len(out), pa.int64()), pa.array([np.concatenate(x).astype("<u4").tobytes() for x in out.values()], pa.binary())], names=["file", "part", "answer"])
+        return pa.table([pa.array([files[k] for k in out], pa.string()), pa.array([0] * len(out), pa.int64()), pa.array([np.concatenate(x).astype("<u4").tobytes() for x in out.values()], pa.binary())], names=["file", "part", "answer"])
 
     def remove(block: K.Block, answers: pa.Table) -> pa.Table:
-        of = answers["part"].to_numpy()
-        marks = np.concatenate([np.zeros((0, 3), np.int64), *(np.frombuffer(b, "<u4").reshape(-1, 3).astype(np.int64) for b in answers.filter(pa.array(of < 0))["answer"].to_pylist())])
+        kind = answers["kind"].to_numpy()
+        of_kind = lambda k: answers.filter(pa.array(kind == k))
+        marks = np.concatenate([np.zeros((0, 3), np.int64), *(np.frombuffer(b, "<u4").reshape(-1, 3).astype(np.int64) for b in of_kind(2)["answer"].to_pylist())])
         held: dict[bytes, list] = {}
         segments_held = segmented(block)
-        for part, segments in repeated_segments(segments_held, answers.filter(pa.array(of >= 0))):
+        for part, segments in repeated_segments(segments_held, of_kind(0)):
             for _, own, t, f in segments:
                 held.setdefault(hashlib.blake2b(own, digest_size=16).digest(), []).append((int(part.rows[t]), f, f + len(own) - (size - 1)))
         local = [x for same in held.values() if len(same) > 1 for x in same]
         marks = np.concatenate([marks, np.array(local, np.int64).reshape(-1, 3)])
         marks = marks[np.argsort(marks[:, 0], kind="stable")]
+        places, keys, checks, counts = hot_strings(segments_held, of_kind(0))
+        again = (K.answered(of_kind(1)) > 1)[K.distinct(keys, checks, counts)[3]] if len(keys) else np.zeros(0, bool)
+        again_of = np.split(again, np.cumsum([len(p) for p in places])[:-1])
         out = []
-        for part, g in segments_held:
+        for (part, g), hot, met in zip(segments_held, places, again_of, strict=True):
             data, at = g.data, g.at
             lo, hi = np.searchsorted(marks[:, 0], [part.rows[0], part.rows[-1] + 1])
             mine = marks[lo:hi]
@@ -224,6 +247,8 @@ def remove_repeats(docs: DataFrame, s: Strings = Strings(), with_bytes: bool = T
             step = np.zeros(len(data) + 1, np.int64)
             np.add.at(step, base + mine[:, 1], 1)
             np.add.at(step, base + mine[:, 2] + size - 1, -1)
+            np.add.at(step, hot[met], 1)
+            np.add.at(step, hot[met] + size, -1)
             gone = np.cumsum(step[:-1]) > 0
             whole = np.flatnonzero(part.many & (np.diff(at) >= size))
             for i in whole.tolist():
@@ -232,8 +257,18 @@ def remove_repeats(docs: DataFrame, s: Strings = Strings(), with_bytes: bool = T
         return pa.Table.from_batches(out, schema=RESULT)
 
     answers = C.written(K.exchanged(corpus, lambda block: keys_in(segmented(block))), "grams")
+    hot = K.exchanged(corpus, lambda block, earlier: K.distinct(*hot_strings(segmented(block), earlier)[1:])[:3], answers=answers)
     marks = K.each_block(corpus, send, "part long, file string, blob binary", answers).repartition(parts, "part").groupBy("part").applyInArrow(match, "file string, part long, answer binary")
-    return K.by_document(corpus, K.each_block(corpus, remove, "digest binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", answers.unionByName(marks)))
+    every = [x.select("file", "part", "answer", F.lit(k).alias("kind")) for k, x in enumerate((answers, hot, marks))]
+    return K.by_document(corpus, K.each_block(corpus, remove, "digest binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", every[0].unionByName(every[1]).unionByName(every[2])))
+
+
+def among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which values are among sorted keys."""
+    at = np.searchsorted(keys, values)
+    found = at < len(keys)
+    found[found] = keys[at[found]] == values[found]
+    return found
 
 
 RESULT = pa.schema([("digest", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
