@@ -60,9 +60,19 @@ def merged(maps: list[DataFrame]) -> DataFrame:
     return known.groupBy("ci", "cj").agg(F.max_by("occ", F.struct("stamp", "occ")).alias("occ"))
 
 
-def dense(cells: DataFrame, column: str, bounds: tuple[int, int, int, int]) -> DataFrame:
-    """Rows of a raster (map_id, cj, values from i0 to i1), -1 where nothing is known. The bounds bound a row's array."""
+def dense(cells: DataFrame, column: str, bounds: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """Rows of a raster (map_id, cj, values from i0 to i1), -1 where nothing is known. The bounds bound a row's array.
+
+    With bounds, rows without a cell are left out. Without, each map's own extent bounds it (i0 is a column then), and every row is there.
+    """
+    value = lambda i: F.coalesce(F.element_at("m", i.cast("int")), F.lit(UNKNOWN))
+    row = F.map_from_entries(F.collect_list(F.struct("ci", column))).alias("m")
+    if bounds is None:
+        extent = cells.groupBy("map_id").agg(F.min("ci").alias("i0"), F.max("ci").alias("i1"), F.min("cj").alias("j0"), F.max("cj").alias("j1"))
+        rows = extent.select("map_id", "i0", "i1", F.explode(F.sequence("j0", "j1")).alias("cj"))
+        held = rows.join(cells.groupBy("map_id", "cj").agg(row), ["map_id", "cj"], "left")
+        return held.select("map_id", "cj", "i0", F.transform(F.sequence("i0", "i1"), value).alias("row"))
     i0, i1, j0, j1 = bounds
     within = cells.where(F.col("ci").between(i0, i1) & F.col("cj").between(j0, j1))
-    held = within.groupBy("map_id", "cj").agg(F.map_from_entries(F.collect_list(F.struct("ci", column))).alias("m"))
-    return held.select("map_id", "cj", F.transform(F.sequence(F.lit(i0), F.lit(i1)), lambda i: F.coalesce(F.element_at("m", i.cast("int")), F.lit(UNKNOWN))).alias("row"))
+    held = within.groupBy("map_id", "cj").agg(row)
+    return held.select("map_id", "cj", F.transform(F.sequence(F.lit(i0), F.lit(i1)), value).alias("row"))
