@@ -13,7 +13,7 @@ after the places where they met. All candidates are verified on the whole sets.
 Large groups of near copies. Before that, texts that agree in a min-hash of their shared tokens, or in all of their set, are each verified against one
 hub: the one with the fewest tokens of its own, which is the group's most typical text. Texts that this connects are one component, and
 the index then only looks for pairs across components, and drops the keys of only one. So a group of n copies costs about n checks.
-That drops no component: every link between two components is still found.
+That drops no component: every link between two components is still found. `linked` gives the links themselves, and so goes without hubs.
 
 Null texts and texts without words have empty sets and join nothing; with fewer than four words the whole sequence is the token. Equal texts
 are joined by their digest; ties are links (>=). Null doc_ids are joined, but name no component unless alone. An empty table gives an empty table.
@@ -213,6 +213,32 @@ def cross_pairs(sets: DataFrame, found: DataFrame, join: Join) -> DataFrame:
     return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & fits(join)).select(F.col("x.tid").alias("a"), F.col("y.tid").alias("b")).distinct()
 
 
+def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:
+    """Every link: a and b (the least doc_ids of two classes of equal sets, a's class having the lesser tid), and n_links, the pairs of documents that it stands for.
+
+    A class of several documents has a row of its own (a = b), for the pairs within. The sum of n_links is the number of similar pairs of documents.
+    All pairs of classes are candidates, also those that hubs would connect, so the rows grow with the links there are.
+    """
+    spark = docs.sparkSession
+    corpus = K.corpus_of(docs, "shingles")
+    sets = sets_of(corpus, join)
+    C.discard(spark, corpus.folder)
+    # Sets with tokens of their own equal no other; the order of tokens is the same in equal sets.
+    same = F.when((F.col("own") == 0) & F.col("tokens").isNotNull(), F.sha2("tokens", 256)).otherwise(F.col("tid").cast("string"))
+    keyed = sets.where("n > 0").select("tid", same.alias("same"))
+    class_of = C.written(keyed.join(keyed.groupBy("same").agg(F.min("tid").alias("class")), "same").select("tid", "class"), "classes")
+    size = corpus.rows.select("doc_id", "digest").join(corpus.texts.select("tid", "digest"), "digest").join(class_of, "tid").groupBy("class").agg(F.min("doc_id").alias("name"), F.count("*").alias("size"))
+    size = C.written(size, "class-sizes")
+    heads = C.written(sets.join(class_of.where("tid = class").select("tid"), "tid"), "class-sets")
+    none = class_of.where("false").select(F.col("tid").alias("node"), F.col("class").alias("component"))
+    with C.arrow_rows(spark, 256):
+        found = C.written(verified(cross_pairs(heads, none, join), heads, join), "all-links")
+    C.discard(spark, sets.written_at)
+    x, y = (size.select(F.col("class").alias(c), F.col("name").alias(n), F.col("size").alias(s)) for c, n, s in (("u", "a", "m"), ("v", "b", "n")))
+    between = found.join(x, "u").join(y, "v").select("a", "b", (F.col("m") * F.col("n")).alias("n_links"))
+    return between.unionByName(size.where("size > 1").select(F.col("name").alias("a"), F.col("name").alias("b"), F.expr("size * (size - 1) div 2").alias("n_links")))
+
+
 def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the least doc_id that links reach), and its text's digest."""
     spark = docs.sparkSession
