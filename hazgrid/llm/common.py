@@ -35,11 +35,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, reread: its lineage is cut and no executor is needed for it."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, reread: its lineage is cut and no executor is needed for it. The options are the writer's."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out

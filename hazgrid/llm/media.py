@@ -168,16 +168,19 @@ def figures(x: np.ndarray) -> str:
 
 def read_media(media: DataFrame) -> DataFrame:
     """Digests of the stored files, of the payloads read back, and features: of the decoded mu-law samples, of
-    the payload read as A-law and as ADPCM blocks, and the checksum of the resampled PCM."""
+    the payload read as A-law and as ADPCM blocks, and the checksum of the resampled PCM: of the files in a column pcm, where
+    there is one (as `store_pcm` makes it), else computed."""
+    stored = "pcm" in media.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in C.cut(batches, "media"):
+        for part in C.cut(batches, "pcm" if stored else "media", 4 << 20 if stored else 1 << 20):
             files = part.column("media").to_pylist()
             data = [p[2] if (p := parse_wav(f)) else b"" for f in files]
             as_mu = decode_all(files)
             as_a = decode_all([wav(ALAW, d) for d in data])
             as_ima = decode_all([wav(IMA, d) for d in data])
-            feature = [f"rate={RATE};mu={figures(m)};a={figures(a)};ima={figures(i)};pcm16k={zlib.crc32(doubled(m).astype('<i2').tobytes()):08x}" for m, a, i in zip(as_mu, as_a, as_ima, strict=True)]
+            pcm = [parse_wav(f)[2] for f in part.column("pcm").to_pylist()] if stored else [doubled(m).astype("<i2").tobytes() for m in as_mu]
+            feature = [f"rate={RATE};mu={figures(m)};a={figures(a)};ima={figures(i)};pcm16k={zlib.crc32(p):08x}" for m, a, i, p in zip(as_mu, as_a, as_ima, pcm, strict=True)]
             yield C.made(
                 READ, doc_id=part.column("doc_id"), n_bytes=part.column("n_bytes"), payload_bytes=[len(d) for d in data], payload_sha256=[hashlib.sha256(d).hexdigest() for d in data], tail_crc32=[zlib.crc32(d[-64:]) for d in data],
                 media_bytes=[len(f) for f in files], media_sha256=[hashlib.sha256(f).hexdigest() for f in files], feature=feature,

@@ -49,7 +49,9 @@ def op8_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_telephony_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_media(C.written(media.store_texts(documents(spark, sf_dir)), "media"))
+    with C.arrow_rows(spark, 1024):
+        stored = C.written(media.store_pcm(media.store_texts(documents(spark, sf_dir)), "media"), "pcm", compression="zstd")
+    return media.read_media(stored)
 
 
 def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
