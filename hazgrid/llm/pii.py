@@ -40,6 +40,7 @@ IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 ACCOUNT = re.compile(r"(?:\x20(?:number|no\.?|nr\.?|id))?[\x20:=#]{1,3}((?:[A-Z]{0,4}-?)?[0-9](?:[\x20-]?[0-9]){5,})", re.I)
 SECRET = re.compile(r"\x20?[:=]\x20?[\"']?([A-Za-z0-9+/_.-]{16,})")
 URL = re.compile(r"(?:[^\s/@\"'<>?#]+@)?[^\s\"'<>]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
 SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 
 
@@ -49,8 +50,7 @@ def automaton():
     a = ahocorasick.Automaton()
     for kind, cues in CUES.items():
         for cue in cues:
-            for form in {cue, cue.capitalize(), cue.upper()}:
-                a.add_word(form, (kind, len(form)))
+            a.add_word(cue, (kind, len(cue)))
     for mark in ("@", "+", "://"):
         a.add_word(mark, (mark, len(mark)))
     for digit in "0123456789":
@@ -84,7 +84,8 @@ class Finder:
         """All spans, by kind as in KINDS, then by start."""
         at: dict[str, list[int]] = {"@": [], "+": [], "://": [], "run": [], "account": [], "secret": []}
         last = -2
-        for end, (what, size) in self.anchors.iter(text):
+        # Cues are in lower case; other letters than A-Z stay, so that offsets do.
+        for end, (what, size) in self.anchors.iter(text.lower() if text.isascii() else text.translate(LOWER)):
             if what == "digit":
                 if end != last + 1:  # the first digit of a run
                     at["run"].append(end)
