@@ -1,13 +1,13 @@
 """Telephony audio in a media column.
 
 Stored forms are RIFF/WAVE files of mono 8 kHz audio: 16-bit PCM, mu-law and A-law (8-bit samples), or
-IMA ADPCM (blocks of 64 bytes). mu-law and A-law expand by lookup tables of 256 samples. ADPCM blocks
+IMA ADPCM (blocks of 64 bytes where `wav` writes them, else of the size that the file gives). mu-law and A-law expand by lookup tables of 256 samples. ADPCM blocks
 carry their own start values, so they decode side by side: one numpy step for each nibble, over all blocks of all
 files of a batch. `store_pcm` keeps what telephony files decode to as resampled PCM files.
 
 A payload is a text's UTF-8 bytes with zero bytes up to a positive multiple of 64, kept as mu-law
 samples, one byte each, so it reads back bit by bit. Null texts count as empty (64 zero bytes). Equal texts
-have equal files and features. A file that can't be parsed gives null samples; an empty table an empty table.
+have equal files and features. A file that can't be parsed gives null samples, one of another rate than 8 kHz null PCM; an empty table an empty table.
 """
 
 from __future__ import annotations
@@ -53,14 +53,15 @@ MU, A = mulaw_table(), alaw_table()
 
 
 def decode_ima(blocks: np.ndarray) -> np.ndarray:
-    """Samples of IMA ADPCM blocks: (n, 64) bytes to (n, 121) samples, all blocks at each step."""
+    """Samples of IMA ADPCM blocks of one size: (n, 64) bytes to (n, 121) samples, all blocks at each step."""
     low, high = blocks[:, 0].astype(np.int32), blocks[:, 1].astype(np.int32)
     now = ((low | high << 8) ^ 0x8000) - 0x8000
     index = np.minimum(blocks[:, 2].astype(np.int32), 88)
-    out = np.empty((PER_BLOCK, len(blocks)), np.int16)
+    per_block = 2 * (blocks.shape[1] - 4) + 1
+    out = np.empty((per_block, len(blocks)), np.int16)
     out[0] = now
     body = np.ascontiguousarray(blocks[:, 4:].T)
-    for k in range(PER_BLOCK - 1):
+    for k in range(per_block - 1):
         code = (body[k >> 1] >> (4 * (k & 1))) & 15
         step = STEPS[index]
         move = step >> 3
@@ -112,16 +113,39 @@ def parse_wav(file: bytes | None) -> tuple[int, int, bytes] | None:
     return None
 
 
+def block_of(file: bytes) -> int | None:
+    """The bytes of an ADPCM block of a file that `parse_wav` takes; None if its format isn't 4 bits in blocks with a header."""
+    at = 12
+    while file[at : at + 4] != b"fmt ":
+        size = struct.unpack_from("<I", file, at + 4)[0]
+        at += 8 + size + (size & 1)
+    align, bits = struct.unpack_from("<HH", file, at + 20)
+    return align if bits == 4 and align > 4 else None
+
+
 def decode_all(files: list[bytes | None]) -> list[np.ndarray | None]:
     """16-bit samples of each file; ADPCM blocks of all files together."""
     parsed = [parse_wav(f) for f in files]
     out: list[np.ndarray | None] = [None] * len(files)
-    ima = [(i, p[2][: len(p[2]) // BLOCK * BLOCK]) for i, p in enumerate(parsed) if p and p[0] == IMA]
-    if ima:
-        samples = decode_ima(np.frombuffer(b"".join(d for _, d in ima), np.uint8).reshape(-1, BLOCK))
+    # Blocks by their size: whole ones, and what a file's last one holds.
+    cut: dict[int, list[tuple[int, bytes]]] = {}
+    for i, p in enumerate(parsed):
+        if p and p[0] == IMA and (size := block_of(files[i])):
+            out[i] = np.zeros(0, np.int16)
+            whole = len(p[2]) // size * size
+            for n, d in ((size, p[2][:whole]), (len(p[2]) - whole, p[2][whole:])):
+                if d and n >= 4:
+                    cut.setdefault(n, []).append((i, d))
+    pieces: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for n, held in cut.items():
+        samples = decode_ima(np.frombuffer(b"".join(d for _, d in held), np.uint8).reshape(-1, n))
         row = 0
-        for i, d in ima:
-            out[i] = samples[row : (row := row + len(d) // BLOCK)].reshape(-1)
+        for i, d in held:
+            # A file's shorter block is its last one, so the longer goes first.
+            pieces.setdefault(i, []).append((-n, samples[row : (row := row + len(d) // n)].reshape(-1)))
+    for i, held in pieces.items():
+        held.sort(key=lambda x: x[0])
+        out[i] = held[0][1] if len(held) == 1 else np.concatenate([x for _, x in held])
     for i, p in enumerate(parsed):
         if p and p[0] != IMA:
             out[i] = np.frombuffer(p[2][: len(p[2]) // 2 * 2], "<i2") if p[0] == PCM else (MU if p[0] == MULAW else A)[np.frombuffer(p[2], np.uint8)]
@@ -134,7 +158,9 @@ def store_pcm(df: DataFrame, column: str, out: str = "pcm") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in C.cut(batches, column):
-            decoded = decode_all(part.column(column).to_pylist())
+            files = part.column(column).to_pylist()
+            # Only telephony's rate is doubled to the stored one; other files give null.
+            decoded = [x if x is not None and parse_wav(f)[1] == RATE else None for f, x in zip(files, decode_all(files), strict=True)]
             new = pa.array([None if x is None else wav(PCM, doubled(x).astype("<i2").tobytes(), STORED_RATE) for x in decoded], pa.binary())
             kept = {n: part.column(n) for n in part.schema.names} | {out: new}
             yield pa.RecordBatch.from_arrays(list(kept.values()), names=list(kept))
