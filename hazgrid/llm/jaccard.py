@@ -239,8 +239,8 @@ def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:
     return between.unionByName(size.where("size > 1").select(F.col("name").alias("a"), F.col("name").alias("b"), F.expr("size * (size - 1) div 2").alias("n_links")))
 
 
-def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (the least doc_id that links reach), and its text's digest."""
+def grouped(docs: DataFrame, join: Join) -> DataFrame:
+    """One row a document: doc_id, digest, n (the size of its set) and component, a number that its texts share; written."""
     spark = docs.sparkSession
     corpus = K.corpus_of(docs, "shingles")
     sets = sets_of(corpus, join)
@@ -253,19 +253,25 @@ def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
     found = components(links.unionByName(more))
     texts = component_of(corpus.texts.select("tid", "digest").join(sets.select("tid", "n"), "tid"), found)
     rows = C.written(corpus.rows.select("doc_id", "digest").join(texts, "digest"), "named")
-    names = C.written(rows.groupBy("component").agg(F.min("doc_id").alias("name")), "names")
     C.discard(spark, sets.written_at)
+    return rows
+
+
+def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id (the least doc_id that links reach), and its text's digest."""
+    rows = grouped(docs, join)
+    names = C.written(rows.groupBy("component").agg(F.min("doc_id").alias("name")), "names")
     return rows.join(names, "component").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"), "digest")
 
 
 def one_of_each(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """The documents that name their component, and those without words; of equal rows with that name, one. All columns are kept.
+    """One document of each component (of the least doc_id, nulls last, then of the least digest), and those without words. All columns are kept.
 
     Null doc_ids stay only if no other document is in the component.
     """
     own = docs.columns
-    found = near_duplicates(docs, join)
-    name = found.where("n_shingles > 0 and (doc_id = component_id or (doc_id is null and component_id is null))").select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null"), F.col("digest").alias("_digest")).distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("digest").alias("_digest")))
+    name = C.written(grouped(docs, join).where("n > 0").groupBy("component").agg(least.alias("x")).select("x.*"), "names")
     held = docs.select(F.struct(*[docs[c] for c in own]).alias("_row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("_id"), docs["doc_id"].isNull().alias("_null"), F.coalesce(docs["text"], F.lit("")).alias("_text"))
     held = held.withColumn("_digest", F.unhex(F.sha2("_text", 256))).drop("_text")
     words = F.coalesce(F.col("_row.text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
