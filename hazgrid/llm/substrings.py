@@ -131,9 +131,9 @@ def candidates(part: K.Part, w: Windows, bits: list[np.ndarray]):
     return words, first, text, key, check
 
 
-def remove_repeats(docs: DataFrame, w: Windows = Windows(), with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, w: Windows = Windows(), with_text: bool = True, sizes: K.Sizes = K.Sizes()) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, the digest of the kept words, and the kept text (null unless asked for)."""
-    corpus = K.corpus_of(docs)
+    corpus = K.corpus_of(docs, sizes=sizes)
     schema = "digest binary, n_words long, n_removed long, kept_sha256 string, kept string"
     held = docs.sparkSession.sparkContext.broadcast(sketch(corpus, w))
 

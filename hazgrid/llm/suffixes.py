@@ -1,18 +1,23 @@
 """Removes repeated byte strings: strings of 400 bytes that the corpus has at another place too.
 
-Every string of 400 bytes has an anchor: the place of its least 128-byte gram, by hash. Equal strings have equal grams at equal
+Every string of 400 bytes has an anchor: the place of its least 192-byte gram, by hash. Equal strings have equal grams at equal
 places in them, so the texts fall into segments, one an anchor with all strings that share it, and only segments
-with equal grams can share strings. Grams are counted in the exchange of `corpus`; those that the corpus has once are done.
+with equal grams can share strings. Grams are hashed once, written, and counted in the exchange of `corpus`; those that the corpus has once are done.
 
 The other segments meet by gram. Equal segments repeat in whole. What is left goes into a logarithmic index family: each
 batch of new strings is sorted into a suffix array (of suffixes cut to 400 bytes, which is all that decides a match), scanned against
 each existing level, and then carried like a binary counter: levels of equal size merge into one of twice the size. Strings met
 again are marked, with those they meet. Comparisons are of bytes, so the result is exact.
 
-A passage that very many texts quote has grams with very many segments, all different at its ends. Grams that reach the counter's end (255)
-are therefore not met by gram: their strings are counted in an exchange of their own, by 96 bits of hash, so that each is one entry of a block.
+A passage that very many texts quote has grams with very many segments, all different at their ends. Segments of grams that reach the counter's
+end (255) are therefore trimmed before they go into the index: their strings are first counted by 96 bits of hash in an exchange of their own,
+and only runs of strings counted twice or more are sent. Those of one passage are then equal but for the few ways to quote a part of it, and a block
+sends equal ones once. The index decides about them by bytes as about all others.
 
-A block sends equal segments once. Null texts are empty; texts shorter than 400 bytes lose nothing; equal texts are handled once
+Besides, `n_shared` tells how many sampled grams of a text the corpus has at another place: the least gram of each string of 288 bytes is
+one of them, so no repeat of 288 bytes or more goes unseen, and none under 192 counts. It is a report; only strings of 400 bytes are removed.
+
+Null texts are empty; texts shorter than 400 bytes lose nothing; equal texts are handled once
 and lose all if they are long enough. An empty table gives an empty table. Only doc_id and text are read.
 """
 
@@ -20,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +43,12 @@ U = np.uint64
 @dataclass(frozen=True)
 class Strings:
     size: int = 400
-    gram: int = 128
+    gram: int = 192
+    #: Repeats of so many bytes are reported, in `n_shared`.
+    short: int = 288
     #: Strings of a new batch.
     batch: int = 8192
-    #: Grams at as many places (the counter ends at 255) are very frequent.
+    #: Segments of grams at as many places (the counter ends at 255) are trimmed.
     hot: int = 255
 
 
@@ -94,78 +102,134 @@ class SuffixLevels:
         return place, met
 
 
+POSITION = U(30)
+
+
 @dataclass
-class Segments:
-    """Anchored segments of some texts: gram, text, first string, and how many strings."""
+class Anchors:
+    """Sampled grams of some texts, in order: their keys, each's segment (its first string, by its place in the text, and how many there are; 0 for
+    grams that are least of shorter strings only), and where each text's begin, and the end."""
 
-    data: np.ndarray
-    at: np.ndarray
     gram: np.ndarray
-    text: np.ndarray
     first: np.ndarray
     n: np.ndarray
+    at: np.ndarray
 
+    @property
+    def text(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
 
-POSITION = U(30)
+    def pack(self) -> bytes:
+        head = np.array([len(self.at), len(self.gram)], U).tobytes()
+        return head + self.at.astype("<u8").tobytes() + self.gram.tobytes() + self.first.astype("<u4").tobytes() + self.n.astype("<u4").tobytes()
+
+    @staticmethod
+    def unpack(blob) -> Anchors:
+        texts, n = (int(x) for x in np.frombuffer(blob, U, 2))
+        at = np.frombuffer(blob, "<u8", texts, 16).astype(np.int64)
+        gram = np.frombuffer(blob, U, n, 16 + 8 * texts)
+        first, size = (np.frombuffer(blob, "<u4", n, 16 + 8 * texts + (8 + 4 * k) * n).astype(np.int64) for k in (0, 1))
+        return Anchors(gram, first, size, at)
 
+    @staticmethod
+    def joined(parts: list[Anchors]) -> Anchors:
+        at = np.concatenate([[0], np.cumsum([k for p in parts for k in np.diff(p.at).tolist()])]).astype(np.int64)
+        return Anchors(*(np.concatenate([np.zeros(0, kind), *(getattr(p, c) for p in parts)]) for c, kind in (("gram", U), ("first", np.int64), ("n", np.int64))), at)
 
-def segments_of(part: K.Part, s: Strings) -> Segments:
+
+def anchors_of(part: K.Part, s: Strings) -> Anchors:
     data, at = C.data_of(part.text)
-    strings = B.Words(data, at, data, data, at).windows(s.size)
-    if not len(strings[0]):
+    strings = B.Words(data, at, data, data, at)
+    first, text = strings.windows(s.short)
+    if not len(first):
         none = np.zeros(0, np.int64)
-        return Segments(data, at, np.zeros(0, U), none, none, none)
+        return Anchors(np.zeros(0, U), none, none, np.zeros(len(at), np.int64))
     every = np.arange(len(data) - s.gram + 1)
     grams = B.run_hashes(data, every, every + s.gram, 0xC2B2AE3D27D4EB4F, 9)
-    least = sliding_least(grams >> POSITION << POSITION | every.astype(U), s.size - s.gram + 1)[strings[0]]
-    begins = np.flatnonzero(np.diff(least, prepend=U(2**64 - 1)))
-    anchor = (least[begins] & U((1 << 30) - 1)).astype(np.int64)
+    least = sliding_least(grams >> POSITION << POSITION | every.astype(U), s.short - s.gram + 1)
+    long_first, long_text = strings.windows(s.size)
+    of_long = sliding_least(least, s.size - s.short + 1)[long_first] & U((1 << 30) - 1) if len(long_first) else np.zeros(0, U)
+    place = np.unique(least[first] & U((1 << 30) - 1)).astype(np.int64)
+    # The strings that share an anchor are neighbours.
+    begins = np.flatnonzero(np.diff(of_long, prepend=U(2**64 - 1)))
+    own = np.searchsorted(place, of_long[begins].astype(np.int64))
+    begin, n = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+    begin[own], n[own] = long_first[begins] - at[long_text[begins]], np.diff(np.append(begins, len(of_long)))
     # Least hashes are all small; keys are dealt by their leading bits, so they are mixed again.
-    return Segments(data, at, B.mixed(grams[anchor], 21), strings[1][begins], strings[0][begins], np.diff(np.append(begins, len(least))))
-
-
-def remove_repeats(docs: DataFrame, s: Strings = Strings(), with_bytes: bool = True) -> DataFrame:
-    """One row a document: doc_id, n_bytes, n_removed, n_spans, the digest of the kept bytes, and those (null unless asked for)."""
-    corpus = K.corpus_of(docs, "bytes")
-    parts, size = 4 * corpus.parts, s.size
-
-    def segmented(block: K.Block) -> list[tuple[K.Part, Segments]]:
-        return [(part, segments_of(part, s)) for part in block.parts()]
-
-    def keys_in(held: list[tuple[K.Part, Segments]]):
-        keys, counts = [np.zeros(0, U)], [np.zeros(0, np.uint8)]
-        for part, g in held:
-            keys.append(g.gram), counts.append(np.where(part.many[g.text], 2, 1))
-        return K.distinct(np.concatenate(keys), None, np.concatenate(counts))[:3]
-
-    def repeated_segments(held: list[tuple[K.Part, Segments]], answers: pa.Table):
-        """Parts with their segments whose grams repeat, but not very often; each as (gram, its bytes, text in the part, first byte in the text)."""
-        total = K.answered(answers)
-        keys = keys_in(held)[0][(total > 1) & (total < s.hot)]
-        for part, g in held:
-            raw = g.data.tobytes()
-            keep = np.flatnonzero(among(g.gram, keys))
-            first, end = g.first[keep], g.first[keep] + g.n[keep] + (size - 1)
-            yield part, [(k, raw[a:b], t, f) for k, a, b, t, f in zip(g.gram[keep].tolist(), first.tolist(), end.tolist(), g.text[keep].tolist(), (first - g.at[g.text[keep]]).tolist(), strict=True)]
-
-    def hot_strings(held: list[tuple[K.Part, Segments]], answers: pa.Table):
-        """For each part: the places of strings of very frequent grams; their keys, checks and counts, over all parts."""
-        hot = keys_in(held)[0][K.answered(answers) >= s.hot]
-        places, keys, checks, counts = [], [np.zeros(0, U)], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint8)]
-        for part, g in held:
-            keep = np.flatnonzero(among(g.gram, hot))
-            n = g.n[keep]
-            at = np.repeat(g.first[keep] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            places.append(at)
-            keys.append(B.run_hashes(g.data, at, at + size, 0xA24BAED4963EE407, 1))
-            checks.append((B.run_hashes(g.data, at, at + size, 0x9FB21C651E98DF25, 2) >> U(32)).astype(np.uint32))
-            counts.append(np.where(part.many[np.repeat(g.text[keep], n)], 2, 1))
-        return places, np.concatenate(keys), np.concatenate(checks), np.concatenate(counts)
+    return Anchors(B.mixed(grams[place], 21), begin, n, np.searchsorted(place, at))
+
+
+KINDS = ("anchors", "grams", "strings", "marks")
+
+
+def remove_repeats(docs: DataFrame, s: Strings = Strings(), with_bytes: bool = True, sizes: K.Sizes = K.Sizes()) -> DataFrame:
+    """One row a document: doc_id, n_bytes, n_removed, n_spans, the digest of the kept bytes, n_shared, and the kept bytes (null unless asked for)."""
+    corpus = K.corpus_of(docs, "bytes", sizes)
+    parts, size = 4 * corpus.parts(1.0), s.size
+
+    def of_kind(answers: pa.Table, kind: str) -> pa.Table:
+        return answers.filter(pa.array(answers["kind"].to_numpy() == KINDS.index(kind)))
+
+    def sample(block: K.Block) -> pa.Table:
+        return pa.table({"block": [block.name], "part": [0], "answer": [Anchors.joined([anchors_of(part, s) for part in block.parts()]).pack()]}, schema=ANSWERS)
+
+    def counted(block: K.Block, answers: pa.Table) -> tuple[Anchors, tuple]:
+        """The block's anchors; their distinct keys, each's count here, and each anchor's place among them."""
+        a = Anchors.unpack(of_kind(answers, "anchors")["answer"][0].as_buffer())
+        return a, K.distinct(a.gram, None, np.where(block.many[a.text], 2, 1))
+
+    def totals(block: K.Block, answers: pa.Table) -> tuple[Anchors, np.ndarray]:
+        """The block's anchors, and how often the corpus has each one's gram."""
+        a, (_, _, _, place) = counted(block, answers)
+        return a, K.answered(of_kind(answers, "grams"))[place]
+
+    def hot_strings(block: K.Block, answers: pa.Table):
+        """Segments of very frequent grams (gram, text, first, n); their strings' keys, checks and counts, one after another."""
+        a, total = totals(block, answers)
+        keep = np.flatnonzero((total >= s.hot) & (a.n > 0))
+        gram, text, first, n = a.gram[keep], a.text[keep], a.first[keep], a.n[keep]
+        keys, checks = [np.zeros(0, U)], [np.zeros(0, np.uint32)]
+        for part in block.parts() if len(keep) else ():
+            lo, hi = np.searchsorted(text, [part.begin, part.begin + len(part.rows)])
+            if hi > lo:
+                data, at = C.data_of(part.text)
+                places = np.repeat(at[text[lo:hi] - part.begin] + first[lo:hi] - (np.cumsum(n[lo:hi]) - n[lo:hi]), n[lo:hi]) + np.arange(int(n[lo:hi].sum()))
+                keys.append(B.run_hashes(data, places, places + size, 0xA24BAED4963EE407, 1))
+                checks.append((B.run_hashes(data, places, places + size, 0x9FB21C651E98DF25, 2) >> U(32)).astype(np.uint32))
+        return (gram, text, first, n), (np.concatenate(keys), np.concatenate(checks), np.where(block.many[np.repeat(text, n)], 2, 1))
+
+    def repeated(block: K.Block, answers: pa.Table) -> tuple[np.ndarray, ...]:
+        """Gram, text, first and n of the segments for the index, by text: those whose grams repeat, and trimmed ones."""
+        a, total = totals(block, answers)
+        keep = np.flatnonzero((total > 1) & (total < s.hot) & (a.n > 0))
+        plain = a.gram[keep], a.text[keep], a.first[keep], a.n[keep]
+        hot, strings = hot_strings(block, answers)
+        if not len(hot[0]):
+            return plain
+        met = (K.answered(of_kind(answers, "strings")) > 1)[K.distinct(*strings)[3]]
+        segment = np.repeat(np.arange(len(hot[0])), hot[3])
+        begin = np.flatnonzero(met & (np.diff(segment, prepend=-1).astype(bool) | ~np.concatenate([[False], met[:-1]])))
+        end = np.flatnonzero(met & (np.diff(segment, append=-1).astype(bool) | ~np.concatenate([met[1:], [False]])))
+        of = segment[begin]
+        trimmed = hot[0][of], hot[1][of], hot[2][of] + begin - (np.cumsum(hot[3]) - hot[3])[of], end - begin + 1
+        both = [np.concatenate(x) for x in zip(plain, trimmed, strict=True)]
+        order = np.argsort(both[1], kind="stable")
+        return tuple(x[order] for x in both)
+
+    def with_strings(block: K.Block, segments: tuple[np.ndarray, ...]):
+        """Each part, with (gram, bytes, text in the part, first) of its segments."""
+        gram, text, first, n = segments
+        for part in block.parts():
+            data, at = C.data_of(part.text)
+            lo, hi = np.searchsorted(text, [part.begin, part.begin + len(part.rows)])
+            raw, t = data.tobytes(), text[lo:hi] - part.begin
+            begin = at[t] + first[lo:hi]
+            yield part, data, at, [(g, raw[a:b], i, f) for g, a, b, i, f in zip(gram[lo:hi].tolist(), begin.tolist(), (begin + n[lo:hi] + (size - 1)).tolist(), t.tolist(), first[lo:hi].tolist(), strict=True)]
 
     def send(block: K.Block, answers: pa.Table) -> pa.Table:
         """Each distinct segment of a block once, with how often it is there."""
         held: dict[bytes, list] = {}
-        for part, segments in repeated_segments(segmented(block), answers):
+        for part, _, _, segments in with_strings(block, repeated(block, answers)):
             for gram, own, t, f in segments:
                 n = 2 if part.many[t] else 1
                 if own in held:
@@ -176,12 +240,12 @@ def remove_repeats(docs: DataFrame, s: Strings = Strings(), with_bytes: bool = T
         order, own = np.argsort(part_of, kind="stable"), list(held)
         table = np.array([(h[0], h[1], h[2], min(h[3], 2), len(k)) for k, h in held.items()], U).reshape(-1, 5)
         cuts = np.flatnonzero(np.diff(part_of[order])) + 1
-        out = {"part": [], "file": [], "blob": []}
+        out = {"part": [], "block": [], "blob": []}
         for mine in np.split(order, cuts) if len(order) else []:
             out["part"].append(int(part_of[mine[0]]))
-            out["file"].append(block.file)
+            out["block"].append(block.name)
             out["blob"].append(np.array([len(mine)], U).tobytes() + table[mine].tobytes() + b"".join([own[i] for i in mine]))
-        return pa.table([pa.array(out["part"], pa.int64()), pa.array(out["file"], pa.string()), pa.array(out["blob"], pa.binary())], names=["part", "file", "blob"])
+        return pa.table([pa.array(out["part"], pa.int64()), pa.array(out["block"], pa.string()), pa.array(out["blob"], pa.binary())], names=["part", "block", "blob"])
 
     def match(table: pa.Table) -> pa.Table:
         """Runs of repeated strings of each block's segments: row, first string, end."""
@@ -220,61 +284,54 @@ def remove_repeats(docs: DataFrame, s: Strings = Strings(), with_bytes: bool = T
                 found = np.column_stack([np.full(len(edge), row), edge + first])
             if len(found):
                 out.setdefault(k, []).append(found)
-        files = table["file"].to_pylist()
-        return pa.table([pa.array([files[k] for k in out], pa.string()), pa.array([0] * len(out), pa.int64()), pa.array([np.concatenate(x).astype("<u4").tobytes() for x in out.values()], pa.binary())], names=["file", "part", "answer"])
+        names = table["block"].to_pylist()
+        return pa.table([pa.array([names[k] for k in out], pa.string()), pa.array([0] * len(out), pa.int64()), pa.array([np.concatenate(x).astype("<u4").tobytes() for x in out.values()], pa.binary())], schema=ANSWERS)
 
     def remove(block: K.Block, answers: pa.Table) -> pa.Table:
-        kind = answers["kind"].to_numpy()
-        of_kind = lambda k: answers.filter(pa.array(kind == k))
-        marks = np.concatenate([np.zeros((0, 3), np.int64), *(np.frombuffer(b, "<u4").reshape(-1, 3).astype(np.int64) for b in of_kind(2)["answer"].to_pylist())])
+        marks = np.concatenate([np.zeros((0, 3), np.int64), *(np.frombuffer(b, "<u4").reshape(-1, 3).astype(np.int64) for b in of_kind(answers, "marks")["answer"].to_pylist())])
+        a, total = totals(block, answers)
+        shared = np.bincount(a.text[total > 1], minlength=len(block.rows))
+        segments = repeated(block, answers)
         held: dict[bytes, list] = {}
-        segments_held = segmented(block)
-        for part, segments in repeated_segments(segments_held, of_kind(0)):
-            for _, own, t, f in segments:
+        for part, _, _, own_segments in with_strings(block, segments):
+            for _, own, t, f in own_segments:
                 held.setdefault(hashlib.blake2b(own, digest_size=16).digest(), []).append((int(part.rows[t]), f, f + len(own) - (size - 1)))
+        # Of a block's equal segments only one was sent.
         local = [x for same in held.values() if len(same) > 1 for x in same]
         marks = np.concatenate([marks, np.array(local, np.int64).reshape(-1, 3)])
         marks = marks[np.argsort(marks[:, 0], kind="stable")]
-        places, keys, checks, counts = hot_strings(segments_held, of_kind(0))
-        again = (K.answered(of_kind(1)) > 1)[K.distinct(keys, checks, counts)[3]] if len(keys) else np.zeros(0, bool)
-        again_of = np.split(again, np.cumsum([len(p) for p in places])[:-1])
         out = []
-        for (part, g), hot, met in zip(segments_held, places, again_of, strict=True):
-            data, at = g.data, g.at
+        for part in block.parts():
+            data, at = C.data_of(part.text)
             lo, hi = np.searchsorted(marks[:, 0], [part.rows[0], part.rows[-1] + 1])
             mine = marks[lo:hi]
             base = at[:-1][np.searchsorted(part.rows, mine[:, 0])]
             step = np.zeros(len(data) + 1, np.int64)
             np.add.at(step, base + mine[:, 1], 1)
             np.add.at(step, base + mine[:, 2] + size - 1, -1)
-            np.add.at(step, hot[met], 1)
-            np.add.at(step, hot[met] + size, -1)
             gone = np.cumsum(step[:-1]) > 0
             whole = np.flatnonzero(part.many & (np.diff(at) >= size))
             for i in whole.tolist():
                 gone[at[i] : at[i + 1]] = True
-            out.append(cut_bytes(part, data, at, gone, with_bytes))
+            out.append(cut_bytes(part, data, at, gone, shared[part.begin : part.begin + len(part.rows)], with_bytes))
         return pa.Table.from_batches(out, schema=RESULT)
 
-    answers = C.written(K.exchanged(corpus, lambda block: keys_in(segmented(block))), "grams")
-    hot = K.exchanged(corpus, lambda block, earlier: K.distinct(*hot_strings(segmented(block), earlier)[1:])[:3], answers=answers)
-    marks = K.each_block(corpus, send, "part long, file string, blob binary", answers).repartition(parts, "part").groupBy("part").applyInArrow(match, "file string, part long, answer binary")
-    every = [x.select("file", "part", "answer", F.lit(k).alias("kind")) for k, x in enumerate((answers, hot, marks))]
-    return K.by_document(corpus, K.each_block(corpus, remove, "digest binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", every[0].unionByName(every[1]).unionByName(every[2])))
-
+    def so_far(*known: DataFrame) -> DataFrame:
+        """What is known by now, each kind in order of KINDS."""
+        return reduce(DataFrame.unionByName, [x.select("block", "part", "answer", F.lit(k).alias("kind")) for k, x in enumerate(known)])
 
-def among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which values are among sorted keys."""
-    at = np.searchsorted(keys, values)
-    found = at < len(keys)
-    found[found] = keys[at[found]] == values[found]
-    return found
+    anchors = C.written(K.each_block(corpus, sample, K.ANSWERS), "anchors")
+    grams = C.written(K.exchanged(corpus, lambda block, earlier: counted(block, earlier)[1][:3], answers=so_far(anchors), share=0.2), "grams")
+    strings = C.written(K.exchanged(corpus, lambda block, earlier: K.distinct(*hot_strings(block, earlier)[1])[:3], answers=so_far(anchors, grams)), "strings")
+    marks = K.each_block(corpus, send, "part long, block string, blob binary", so_far(anchors, grams, strings)).repartition(parts, "part").groupBy("part").applyInArrow(match, K.ANSWERS)
+    return K.by_document(corpus, K.each_block(corpus, remove, "digest binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long, kept binary", so_far(anchors, grams, strings, marks)))
 
 
-RESULT = pa.schema([("digest", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+ANSWERS = pa.schema([("block", pa.string()), ("part", pa.int64()), ("answer", pa.binary())])
+RESULT = pa.schema([("digest", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_shared", pa.int64()), ("kept", pa.binary())])
 
 
-def cut_bytes(part: K.Part, data: np.ndarray, at: np.ndarray, gone: np.ndarray, with_bytes: bool) -> pa.RecordBatch:
+def cut_bytes(part: K.Part, data: np.ndarray, at: np.ndarray, gone: np.ndarray, shared: np.ndarray, with_bytes: bool) -> pa.RecordBatch:
     removed, spans, kept = [], [], []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         own = gone[a:b]
@@ -282,4 +339,4 @@ def cut_bytes(part: K.Part, data: np.ndarray, at: np.ndarray, gone: np.ndarray,
         removed.append(n)
         spans.append(int(own[0]) + int((own[1:] & ~own[:-1]).sum()) if n else 0)
         kept.append((data[a:b][~own] if n else data[a:b]).tobytes())
-    return pa.RecordBatch.from_arrays([part.digests.cast(pa.binary()), pa.array(np.diff(at), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(kept if with_bytes else [None] * len(kept), pa.binary())], schema=RESULT)
+    return pa.RecordBatch.from_arrays([part.digests.cast(pa.binary()), pa.array(np.diff(at), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(shared, pa.int64()), pa.array(kept if with_bytes else [None] * len(kept), pa.binary())], schema=RESULT)

@@ -89,7 +89,7 @@ def bytes_brute(texts, size):
     return raw, gone
 
 
-@pytest.mark.parametrize("s", [suffixes.Strings(), suffixes.Strings(size=40, gram=12, batch=64), suffixes.Strings(size=40, gram=12, batch=64, hot=4), suffixes.Strings(hot=2)])
+@pytest.mark.parametrize("s", [suffixes.Strings(), suffixes.Strings(size=40, gram=12, short=20, batch=64), suffixes.Strings(size=40, gram=12, short=20, batch=64, hot=4), suffixes.Strings(hot=2)])
 def test_suffixes_equal_brute_force(documents, s):
     rows, docs = documents
     raw, gone = bytes_brute([t for _, t, _ in rows], s.size)
