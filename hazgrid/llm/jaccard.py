@@ -1,6 +1,6 @@
 """Joins documents whose sets of word shingles have a Jaccard similarity of a threshold or more.
 
-Tokens are 4-word shingles of lower-cased words. The exchange of `corpus` counts in how many texts each token is, and
+Tokens are shingles of `words` lower-cased words. The exchange of `corpus` counts in how many texts each token is, and
 texts order their tokens by that count, rarest first. Two texts that are similar share all but a few tokens, so of the tokens that
 they share, the first lies in the prefix of either, and the first k lie in the prefixes extended by k - 1 tokens. Tokens that one text
 has alone can't be shared: they fill the prefix, need no entry, and a text with more of them than its prefix holds joins nothing.
@@ -15,7 +15,7 @@ hub: the one with the fewest tokens of its own, which is the group's most typica
 the index then only looks for pairs across components, and drops the keys of only one. So a group of n copies costs about n checks.
 That drops no component: every link between two components is still found. `linked` gives the links themselves, and so goes without hubs.
 
-Null texts and texts without words have empty sets and join nothing; with fewer than four words the whole sequence is the token. Equal texts
+Null texts and texts without words have empty sets and join nothing; with fewer words the whole sequence is the token. Equal texts
 are joined by their digest; ties are links (>=). Null doc_ids are joined, but name no component unless alone. An empty table gives an empty table.
 """
 
@@ -39,8 +39,8 @@ U = np.uint64
 
 @dataclass(frozen=True)
 class Join:
-    words: int = 4
-    percent: int = 85
+    words: int = 5
+    percent: int = 80
     #: Tokens in more texts than this are frequent.
     rare: int = 64
     #: Min-hashes by which texts find hubs.
@@ -227,7 +227,7 @@ def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:
     same = F.when((F.col("own") == 0) & F.col("tokens").isNotNull(), F.sha2("tokens", 256)).otherwise(F.col("tid").cast("string"))
     keyed = sets.where("n > 0").select("tid", same.alias("same"))
     class_of = C.written(keyed.join(keyed.groupBy("same").agg(F.min("tid").alias("class")), "same").select("tid", "class"), "classes")
-    size = corpus.rows.select("doc_id", "digest").join(corpus.texts.select("tid", "digest"), "digest").join(class_of, "tid").groupBy("class").agg(F.min("doc_id").alias("name"), F.count("*").alias("size"))
+    size = corpus.rows.join(corpus.texts.select("tid", "digest"), "digest").join(class_of, "tid").groupBy("class").agg(F.min("doc_id").alias("name"), F.count("*").alias("size"))
     size = C.written(size, "class-sizes")
     heads = C.written(sets.join(class_of.where("tid = class").select("tid"), "tid"), "class-sets")
     none = class_of.where("false").select(F.col("tid").alias("node"), F.col("class").alias("component"))
@@ -239,10 +239,10 @@ def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:
     return between.unionByName(size.where("size > 1").select(F.col("name").alias("a"), F.col("name").alias("b"), F.expr("size * (size - 1) div 2").alias("n_links")))
 
 
-def grouped(docs: DataFrame, join: Join) -> DataFrame:
+def grouped(docs: DataFrame, join: Join, sizes: K.Sizes = K.Sizes()) -> DataFrame:
     """One row a document: doc_id, digest, n (the size of its set) and component, a number that its texts share; written."""
     spark = docs.sparkSession
-    corpus = K.corpus_of(docs, "shingles")
+    corpus = K.corpus_of(docs, "shingles", sizes)
     sets = sets_of(corpus, join)
     C.discard(spark, corpus.folder)
     with C.arrow_rows(spark, 256):
@@ -252,14 +252,14 @@ def grouped(docs: DataFrame, join: Join) -> DataFrame:
         more = C.written(verified(pairs, sets, join), "more-links")
     found = components(links.unionByName(more))
     texts = component_of(corpus.texts.select("tid", "digest").join(sets.select("tid", "n"), "tid"), found)
-    rows = C.written(corpus.rows.select("doc_id", "digest").join(texts, "digest"), "named")
+    rows = C.written(corpus.rows.join(texts, "digest"), "named")
     C.discard(spark, sets.written_at)
     return rows
 
 
-def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
+def near_duplicates(docs: DataFrame, join: Join = Join(), sizes: K.Sizes = K.Sizes()) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the least doc_id that links reach), and its text's digest."""
-    rows = grouped(docs, join)
+    rows = grouped(docs, join, sizes)
     names = C.written(rows.groupBy("component").agg(F.min("doc_id").alias("name")), "names")
     return rows.join(names, "component").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"), "digest")
 

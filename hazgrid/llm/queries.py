@@ -37,11 +37,11 @@ def op5_bpe_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.remove_repeats(documents(spark, sf_dir), with_bytes=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffixes.remove_repeats(documents(spark, sf_dir), with_bytes=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared")
 
 
 def op7_combination_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+    return jaccard.near_duplicates(documents(spark, sf_dir), jaccard.Join(words=4, percent=85)).select("doc_id", "n_shingles", "component_id")
 
 
 def op8_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,13 +9,13 @@ from hazgrid.llm import jaccard
 from hazgrid.llm.components import components
 
 
-def shingles(t):
+def shingles(t, n=5):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
 
 
-def brute(rows):
-    sets = [shingles(t) for _, t in rows]
+def brute(rows, join=jaccard.Join()):
+    sets = [shingles(t, join.words) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -26,7 +26,7 @@ def brute(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= join.percent * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
     name = {}
     for i, (d, _) in enumerate(rows):
@@ -57,12 +57,12 @@ def rows_of(seed):
     return [(3 * i + 1, t) for i, t in enumerate(out)]
 
 
-@pytest.mark.parametrize("seed, join", [(1, jaccard.Join()), (2, jaccard.Join(rare=3)), (3, jaccard.Join(rare=0, hashes=1)), (4, jaccard.Join(rare=8))])
+@pytest.mark.parametrize("seed, join", [(1, jaccard.Join()), (2, jaccard.Join(rare=3)), (3, jaccard.Join(rare=0, hashes=1)), (4, jaccard.Join(rare=8)), (5, jaccard.Join(words=4, percent=85)), (6, jaccard.Join(words=4, percent=85, rare=3))])
 def test_equals_brute_force(spark, seed, join):
     rows = rows_of(seed)
     docs = spark.createDataFrame([(*x, "clash") for x in rows], "doc_id long, text string, component string").repartition(5)
     got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.near_duplicates(docs, join).collect()}
-    want = brute(rows)
+    want = brute(rows, join)
     assert got == want
     kept = jaccard.one_of_each(docs, join)
     assert kept.columns == docs.columns and sorted(x["doc_id"] for x in kept.collect()) == sorted(d for d, (n, c) in want.items() if not n or c == d)
