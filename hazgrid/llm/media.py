@@ -6,7 +6,7 @@ carry their own start values, so they decode side by side: one numpy step for ea
 files of a batch. `store_pcm` keeps what telephony files decode to as resampled PCM files.
 
 A payload is a text's UTF-8 bytes with zero bytes up to a positive multiple of 64, kept as mu-law
-samples, one byte each, so it reads back bit by bit. Null texts count as empty (64 zero bytes). Equal texts
+samples, one byte each, so it reads back bit by bit: from a mu-law file, or from its resampled PCM, of which every other sample is one of the file's. Null texts count as empty (64 zero bytes). Equal texts
 have equal files and features. A file that can't be parsed gives null samples, one of another rate than 8 kHz null PCM; an empty table an empty table.
 """
 
@@ -50,6 +50,9 @@ def alaw_table() -> np.ndarray:
 
 
 MU, A = mulaw_table(), alaw_table()
+#: The mu-law sample of each 16-bit value that one stands for, by value + 2^15. Both zeros expand to 0; it gives 0x7F, as 0xFF is in no UTF-8 text.
+MU_BACK = np.zeros(1 << 16, np.uint8)
+MU_BACK[MU[:255].astype(np.int64) + (1 << 15)] = np.arange(255)
 
 
 def decode_ima(blocks: np.ndarray) -> np.ndarray:
@@ -194,22 +197,26 @@ def figures(x: np.ndarray) -> str:
 
 def read_media(media: DataFrame) -> DataFrame:
     """Digests of the stored files, of the payloads read back, and features: of the decoded mu-law samples, of
-    the payload read as A-law and as ADPCM blocks, and the checksum of the resampled PCM: of the files in a column pcm, where
-    there is one (as `store_pcm` makes it), else computed."""
-    stored = "pcm" in media.columns
+    the payload read as A-law and as ADPCM blocks, and the checksum of the resampled PCM. The stored files are those of a column pcm, where
+    there is one (as `store_pcm` makes it from what `store_texts` gives), else the mu-law files of the column media."""
+    column = "pcm" if "pcm" in media.columns else "media"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in C.cut(batches, "pcm" if stored else "media", 4 << 20 if stored else 1 << 20):
-            files = part.column("media").to_pylist()
-            data = [p[2] if (p := parse_wav(f)) else b"" for f in files]
-            as_mu = decode_all(files)
+        for part in C.cut(batches, column, 4 << 20 if column == "pcm" else 1 << 20):
+            files = part.column(column).to_pylist()
+            samples = decode_all(files)
+            if column == "pcm":
+                pcm, as_mu = [x.tobytes() for x in samples], [x[::2] for x in samples]
+                data = [MU_BACK[x.astype(np.int64) + (1 << 15)].tobytes() for x in as_mu]
+            else:
+                as_mu, data = samples, [parse_wav(f)[2] for f in files]
+                pcm = [doubled(x).astype("<i2").tobytes() for x in as_mu]
             as_a = decode_all([wav(ALAW, d) for d in data])
             as_ima = decode_all([wav(IMA, d) for d in data])
-            pcm = [parse_wav(f)[2] for f in part.column("pcm").to_pylist()] if stored else [doubled(m).astype("<i2").tobytes() for m in as_mu]
             feature = [f"rate={RATE};mu={figures(m)};a={figures(a)};ima={figures(i)};pcm16k={zlib.crc32(p):08x}" for m, a, i, p in zip(as_mu, as_a, as_ima, pcm, strict=True)]
             yield C.made(
                 READ, doc_id=part.column("doc_id"), n_bytes=part.column("n_bytes"), payload_bytes=[len(d) for d in data], payload_sha256=[hashlib.sha256(d).hexdigest() for d in data], tail_crc32=[zlib.crc32(d[-64:]) for d in data],
                 media_bytes=[len(f) for f in files], media_sha256=[hashlib.sha256(f).hexdigest() for f in files], feature=feature,
             )
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", column).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

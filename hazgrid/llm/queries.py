@@ -50,7 +50,7 @@ def op8_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_telephony_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     with C.arrow_rows(spark, 1024):
-        stored = C.written(media.store_pcm(media.store_texts(documents(spark, sf_dir)), "media"), "pcm", compression="zstd")
+        stored = C.written(media.store_pcm(media.store_texts(documents(spark, sf_dir)), "media").drop("media"), "pcm", compression="zstd")
     return media.read_media(stored)
 
 
