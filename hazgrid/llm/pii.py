@@ -76,6 +76,11 @@ def only_digits(x: str) -> str:
     return "".join(c for c in x if c in DIGITS)
 
 
+def begins_word(text: str, at: int) -> bool:
+    """Whether no letter or digit is before it, or a hump of a compound name begins there (accessToken)."""
+    return at == 0 or not text[at - 1].isalnum() or (text[at - 1].islower() and text[at].isupper())
+
+
 class Finder:
     def __init__(self):
         self.anchors = automaton()
@@ -90,8 +95,10 @@ class Finder:
                 if end != last + 1:  # the first digit of a run
                     at["run"].append(end)
                 last = end
-            else:
-                at[what].append(end + 1 if what in CUES else end + 1 - size)
+            elif what not in CUES:
+                at[what].append(end + 1 - size)
+            elif begins_word(text, end + 1 - size):
+                at[what].append(end + 1)
         found: list[tuple[str, int, int]] = []
         if at["@"]:
             found += self.emails(text, at["@"])
