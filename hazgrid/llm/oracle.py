@@ -29,14 +29,15 @@ def strength(level: str) -> str:
       SELECT count(*) AS g, CAST(sum(n) AS DOUBLE) AS t, CAST(sum(bad) AS DOUBLE) AS b, sum(CAST(bad AS DOUBLE) * bad / n) AS q, sum(CAST(n AS DOUBLE) * n) AS nn, CAST(sum(bad) AS DOUBLE) / nullif(sum(n), 0) AS p FROM {level} WHERE n > 0)))"""
 
 
-TWO = "('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.in', 'co.nz', 'com.cn', 'com.mx')"
+TWO = "(ac|co|com|ed|edu|go|gob|gov|ltd|me|mil|ne|net|nom|or|org|plc|sch)"
 URLS = rf"""WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-  bad AS (SELECT doc_id, max(greatest(1 - quality, toxic)) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id),
+  bad AS (SELECT doc_id, max(greatest(1 - quality, toxic)) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id),
   lab AS (SELECT page_id, max(bad) AS bad FROM p JOIN bad ON try_cast(regexp_extract(path, '/([0-9]+)(?:\.[A-Za-z]+)?/?$', 1) AS BIGINT) = doc_id GROUP BY page_id),
   h AS (SELECT host, count(bad) AS n, CAST(coalesce(sum(bad), 0) AS BIGINT) AS bad FROM p LEFT JOIN lab USING (page_id) GROUP BY host),
-  hs AS (SELECT *, CASE WHEN regexp_extract(host, '([^.]*\.[^.]*)$', 1) IN {TWO} THEN regexp_extract(host, '([^.]*\.[^.]*)$', 1) ELSE regexp_extract(host, '([^.]*)$', 1) END AS suffix FROM h),
-  hd AS (SELECT *, substr(host, 1, greatest(length(host) - length(suffix) - 1, 0)) AS head FROM hs),
-  hosts AS (SELECT host, n, bad, suffix, CASE WHEN head = '' THEN host ELSE regexp_extract(head, '([^.]*)$', 1) || '.' || suffix END AS domain FROM hd),
+  hn AS (SELECT *, regexp_replace(host, '^.*@|:[0-9]*$', '', 'g') AS name FROM h),
+  hs AS (SELECT *, CASE WHEN regexp_matches(name, '^[0-9]+(\.[0-9]+){{3}}$|^\[') THEN name WHEN regexp_matches(name, '(^|\.){TWO}\.[a-z]{{2}}$') THEN regexp_extract(name, '([^.]*\.[^.]*)$', 1) ELSE regexp_extract(name, '([^.]*)$', 1) END AS suffix FROM hn),
+  hd AS (SELECT *, substr(name, 1, greatest(length(name) - length(suffix) - 1, 0)) AS head FROM hs),
+  hosts AS (SELECT host, n, bad, suffix, CASE WHEN head = '' THEN name ELSE regexp_extract(head, '([^.]*)$', 1) || '.' || suffix END AS domain FROM hd),
   domains AS (SELECT domain, suffix, CAST(sum(n) AS BIGINT) AS n, CAST(sum(bad) AS BIGINT) AS bad FROM hosts GROUP BY domain, suffix),
   suffixes AS (SELECT suffix, CAST(sum(n) AS BIGINT) AS n, CAST(sum(bad) AS BIGINT) AS bad FROM domains GROUP BY suffix),
   ms AS (SELECT suffix, (bad + s * up) / (n + s) AS mean FROM suffixes, {strength('suffixes')}, (SELECT coalesce(CAST(sum(bad) AS DOUBLE) / nullif(sum(n), 0), 0.1) AS up FROM suffixes)),

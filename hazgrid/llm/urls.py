@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hazgrid.llm import common as C
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,8 +35,10 @@ class UrlRules:
     strength: tuple[float, float, float] = (2.0, 1000.0, 10.0)
     #: The mean of the suffix level's prior where nothing is labelled.
     prior_mean: float = 0.1
-    #: Suffixes of two labels under which names are registered.
-    two_label_suffixes: tuple[str, ...] = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "co.nz", "com.cn", "com.mx")
+    #: Labels that make a suffix with a country's label of two letters after them (co.uk), under which names are registered.
+    second_labels: tuple[str, ...] = ("ac", "co", "com", "ed", "edu", "go", "gob", "gov", "ltd", "me", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
+    #: Other suffixes, for instance of a public suffix list: they hold besides, the longest first.
+    suffixes: tuple[str, ...] = ()
 
 
 def host_of(url: Column) -> Column:
@@ -45,15 +49,24 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix_of(host: Column, rules: UrlRules) -> Column:
-    two = F.regexp_extract(host, r"([^.]*\.[^.]*)$", 1)
-    return F.when(two.isin(*rules.two_label_suffixes), two).otherwise(F.regexp_extract(host, r"([^.]*)$", 1))
+def name_of(host: Column) -> Column:
+    """The host's name: without user data and port."""
+    return F.regexp_replace(host, r"^.*@|:[0-9]*$", "")
+
+
+def suffix_of(name: Column, rules: UrlRules) -> Column:
+    """The part of a name under which others are registered; an address is its own."""
+    out = F.when(name.rlike(r"^[0-9]+(\.[0-9]+){3}$|^\["), name)
+    for x in sorted(rules.suffixes, key=lambda x: (-len(x), x)):
+        out = out.when((name == x) | name.endswith(f".{x}"), F.lit(x))
+    two = F.regexp_extract(name, r"([^.]*\.[^.]*)$", 1)
+    return out.when(two.rlike(rf"^({'|'.join(rules.second_labels)})\.[a-z]{{2}}$"), two).otherwise(F.regexp_extract(name, r"([^.]*)$", 1))
 
 
-def domain_of(host: Column, suffix: Column) -> Column:
-    """The suffix with one label before it, or the host where there is none."""
-    head = F.expr("substring(host, 1, greatest(length(host) - length(suffix) - 1, 0))")
-    return F.when(head == "", host).otherwise(F.concat(F.regexp_extract(head, r"([^.]*)$", 1), F.lit("."), suffix))
+def domain_of(name: Column, suffix: Column) -> Column:
+    """The suffix with one label before it, or the name where there is none."""
+    head = F.substring(name, F.lit(1), F.greatest(F.length(name) - F.length(suffix) - 1, F.lit(0)))
+    return F.when(head == "", name).otherwise(F.concat(F.regexp_extract(head, r"([^.]*)$", 1), F.lit("."), suffix))
 
 
 def rule_of(host: Column, path: Column, rules: UrlRules) -> tuple[Column, Column]:
@@ -79,10 +92,13 @@ def strength_of(level: DataFrame, rules: UrlRules) -> DataFrame:
 def reputations(pages: DataFrame, outcomes: DataFrame, rules: UrlRules = UrlRules()) -> DataFrame:
     """host, n labelled pages, bad ones, posterior mean and its bounds; outcomes: page_id, bad (0 or 1)."""
     worst = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
+    counts = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     hosts = pages.select("page_id", host_of(F.col("url")).alias("host")).join(worst, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = hosts.withColumn("suffix", suffix_of(F.col("host"), rules)).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    # Written once: each level's prior reads the counts several times.
+    hosts = hosts.withColumn("name", name_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("name"), rules)).withColumn("domain", domain_of(F.col("name"), F.col("suffix"))).drop("name")
+    hosts = C.written(hosts, "hosts")
+    domains = C.written(hosts.groupBy("domain", "suffix").agg(*counts), "domains")
+    suffixes = C.written(domains.groupBy("suffix").agg(*counts), "suffixes")
     top = suffixes.agg(F.coalesce(F.sum("bad") / F.expr("nullif(sum(n), 0)"), F.lit(rules.prior_mean)).alias("up"))
 
     def shrunk(level: DataFrame) -> DataFrame:
@@ -112,6 +128,6 @@ def document_of(url: Column) -> Column:
 
 
 def outcomes_of(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """page_id, bad: by the label of the document that a page shows, bad if of low quality or toxic (of several labels the worst)."""
+    """page_id, bad: by the label of the document that a page shows, bad if of low quality or toxic (of several labels the worst; what a label leaves null doesn't count, and one without either is none)."""
     bad = labels.groupBy(F.col("doc_id").alias("_document")).agg(F.max(F.greatest(1 - F.col("quality"), F.col("toxic")).cast("long")).alias("bad")).where("_document is not null and bad is not null")
     return pages.select("page_id", document_of(F.col("url")).alias("_document")).join(bad, "_document").select("page_id", "bad")
