@@ -36,7 +36,7 @@ def rows_of(df):
 
 
 def test_stages_and_run(spark, folder):
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs, library = spark.read.parquet(f"{folder}/documents.parquet"), tokenizers.Tokenizer.from_file(bpe.BYTE_BPE)
     stage = dict(P.STAGES)
     good = stage["quality"](spark, docs, folder)
     assert good.columns == COLUMNS
@@ -46,7 +46,7 @@ def test_stages_and_run(spark, folder):
         n, chars, _, _, repeat = quality_brute(r["text"])
         tokens, fallen, bits = (x[0] for x in judge.fertility([r["text"] or ""]))
         least = np.interp(np.log2(max(1, tokens)), np.log2([k for k, _ in quality.LEAST_BITS]), [b for _, b in quality.LEAST_BITS])
-        fine = n >= 50 and 100 * repeat <= 50 * n and judge.within(r["lang"], r["text"] or "", chars / max(1, tokens), fallen / max(1, tokens), bits - least, bits)
+        fine = n >= 50 and 100 * repeat <= 50 * n and judge.within(r["lang"], r["text"] or "", chars / max(1, tokens), chars / max(1, len(library.encode(r["text"] or "", add_special_tokens=False).ids)), fallen / max(1, tokens), bits - least, bits)
         assert (i in kept) == fine, i
     assert 30 < len(kept) < docs.count()
 
@@ -75,7 +75,6 @@ def test_stages_and_run(spark, folder):
     want = targets_brute(sizes, mixing.Mix().weights, mixing.Mix().most)
     assert all(abs(taken[s] - want[s]) <= 250 for s in sizes)
 
-    library = tokenizers.Tokenizer.from_file(bpe.BYTE_BPE)
     out = P.run(spark, folder).collect()
     assert Counter(r["doc_id"] for r in out) == copies
     for r in out:

@@ -7,7 +7,7 @@ import pytest
 
 from hazgrid.llm import quality
 
-sentencepiece = pytest.importorskip("sentencepiece")
+sentencepiece, tokenizers = pytest.importorskip("sentencepiece"), pytest.importorskip("tokenizers")
 PROSE = "It was late in the year when the two of them set out along the river, and nobody in the village thought that they would be back before the snow. They carried little: bread, a lamp, some rope and the old map that her uncle had drawn. By noon the road had narrowed to a path, and the path to a line of stones between the reeds."
 TEXTS = {
     1: PROSE, 2: PROSE + "\n" + PROSE, 3: "", 4: None, 5: " \n\t", 6: "short text", 7: "The " * 400, 8: "a b c a b c " * 20, 9: "x\n x \ny\nx\n\n\nx\n" * 10, 10: "#$%& <|> *" * 30,
@@ -27,11 +27,13 @@ def test_metrics_equal_brute_force(spark):
     rows = [(i, t, {13: "ja", 14: None}.get(i, "en"), "clash") for i, t in TEXTS.items()]
     docs = spark.createDataFrame([*rows, (None, PROSE, "en", "x")], "doc_id long, text string, lang string, kept string").repartition(3)
     got = {x["doc_id"]: x for x in quality.quality_metrics(docs).collect()}
+    library = tokenizers.Tokenizer.from_file(quality.QualityRules().byte_tokenizer)
     model = sentencepiece.SentencePieceProcessor(model_file=quality.QualityRules().tokenizer)
     for i, t in TEXTS.items():
         x, (n, chars, symbols, dup, repeat) = got[i], brute(t)
         assert (x["n_words"], x["word_chars"], x["n_symbols"], x["n_dup_lines"], x["n_repeat_words"]) == (n, chars, symbols, dup, repeat), i
         assert x["base_failed"] == (n < 50 or 100 * repeat > 50 * n) and not (x["base_failed"] and x["kept"])
+        assert x["chars_per_byte_token"] == pytest.approx(chars / max(1, len(library.encode(t or "", add_special_tokens=False).ids)))
         assert x["n_tokens"] == len(model.encode(t or "")) and x["chars_per_token"] == pytest.approx(chars / max(1, x["n_tokens"]))
     assert got[1]["kept"] and got[15]["kept"] and got[None]["kept"] and not got[7]["kept"] and not got[12]["kept"]
     good = quality.keep_good(docs)
