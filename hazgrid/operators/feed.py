@@ -9,14 +9,15 @@ from hazgrid.functions.lattice import Lattice, exploded, pack, unpack
 from hazgrid.operators.moments import CELL
 
 
-def encoded(cells: DataFrame, layers: list[str], lattice: Lattice, is_full: bool, buckets: int = 1) -> DataFrame:
-    """One update a map and bucket of its cells: layers, keys in order, and values row by row (NaN for unknown).
+def encoded(cells: DataFrame, layers: list[str], lattice: Lattice, is_full: bool, side: int = 1024) -> DataFrame:
+    """One update a map and tile of side x side cells: layers, keys in order, and values row by row (NaN for unknown).
 
-    With one bucket a map is one row, as on the wire; large maps take as many buckets as keep a row small.
+    The middle tile lies about the origin, so a map within it is one row, as on the wire; a larger one has more rows, none of which outgrows
+    a tile. A full update of several rows is one if they have one seq.
     """
     value = F.array(*[F.coalesce(F.col(c).cast("float"), F.lit(float("nan")).cast("float")) for c in layers])
-    keyed = cells.select("map_id", F.pmod(F.xxhash64("ci", "cj"), F.lit(buckets)).alias("bucket"), pack(F.col("ci"), F.col("cj")).alias("key"), value.alias("values"))
-    rows = keyed.groupBy("map_id", "bucket").agg(F.array_sort(F.collect_list(F.struct("key", "values"))).alias("rows"))
+    tile = [F.floor((F.col(c) + side // 2) / side).cast("int").alias(f"tile_{c}") for c in ("ci", "cj")]
+    rows = cells.select("map_id", *tile, pack(F.col("ci"), F.col("cj")).alias("key"), value.alias("values")).groupBy("map_id", "tile_ci", "tile_cj").agg(F.array_sort(F.collect_list(F.struct("key", "values"))).alias("rows"))
     return rows.select("map_id", F.lit(is_full).alias("is_full"), F.lit(lattice.res).alias("resolution"), F.lit(lattice.x0).alias("origin_x"), F.lit(lattice.y0).alias("origin_y"), F.array(*map(F.lit, layers)).alias("layers"), F.col("rows.key").alias("cell_keys"), F.flatten("rows.values").alias("values"))
 
 

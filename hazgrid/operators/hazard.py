@@ -1,7 +1,8 @@
 """Hazard metrics of cells from a plane fit over the disc around them.
 
-Each cell sends its moments, shifted to the receiver's origin, to the cells whose disc it lies in, so one shuffle by cell replaces a
-join; it happens after points are fused into cells, and a receiver gets at most one row for each offset of the disc. The eigenvalues of a 3x3
+Cells are dealt to square tiles with a halo as wide as the disc, so a cell is shuffled once, or up to four times near a tile's edge, whatever the disc's size. Within its
+tile it sends its moments, shifted to the receiver's origin, to the cells whose disc it lies in; these are summed without another shuffle, and a
+receiver gets at most one row for each offset of the disc. The eigenvalues of a 3x3
 covariance have a closed form, so all stays in JVM expressions.
 """
 
@@ -28,13 +29,19 @@ class Fit:
 
 def vicinity(cells: DataFrame, lattice: Lattice, radius: float) -> DataFrame:
     """For each observed cell: the fused moments of its disc about its own centre, how many cells the disc has and the fewest points of one, its own n and sz, and the barycentres (at most one for each offset)."""
-    sent = cells.select("*", exploded(disc(radius, lattice.res)).alias("o"))
+    offsets = disc(radius, lattice.res)
+    reach = max(i for i, _ in offsets)
+    side = max(32, 8 * reach)
+    near = lambda c: F.array_distinct(F.array(*[F.floor((F.col(c) + d) / side).cast("int") for d in (-reach, reach)]))
+    dealt = cells.withColumn("tile_i", F.explode(near("ci"))).withColumn("tile_j", F.explode(near("cj"))).repartition("map_id", "tile_i", "tile_j")
+    sent = dealt.select("*", exploded(offsets).alias("o"))
     dx, dy = F.col("o.di") * lattice.res, F.col("o.dj") * lattice.res
     sent = sent.withColumns(shifted(dx, dy)).withColumns({"ci": F.col("ci") - F.col("o.di"), "cj": F.col("cj") - F.col("o.dj"), "self": (F.col("o.di") == 0) & (F.col("o.dj") == 0)})
+    sent = sent.where((F.floor(F.col("ci") / side) == F.col("tile_i")) & (F.floor(F.col("cj") / side) == F.col("tile_j")))
     point = F.struct(*[(F.col(s) / F.col("n")).alias(a) for a, s in (("x", "sx"), ("y", "sy"), ("z", "sz"))])
-    return sent.groupBy(*CELL).agg(
+    return sent.groupBy(*CELL, "tile_i", "tile_j").agg(
         F.max(F.when(F.col("self"), F.col("n"))).alias("own_n"), F.max(F.when(F.col("self"), F.col("sz"))).alias("own_sz"), F.count("*").alias("n_cells"), F.min("n").alias("least_n"), F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in SUMS], F.collect_list(point).alias("centers"),
-    ).where("own_n >= 1")
+    ).where("own_n >= 1").drop("tile_i", "tile_j")
 
 
 def named(columns: dict[str, Column], body: Callable[[Column], Column]) -> Column:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -63,26 +68,36 @@ def obstacle_ids(n: int, free: list[int] | None = None) -> list[int]:
     return out
 
 
-def _folded(rows: DataFrame, source: str, order: list[str], keep, state: Column, after) -> DataFrame:
-    """Rows that a gate accepts, whose state is the last accepted row. The fold runs over each source's sorted array, which its keyframes bound."""
-    fields = rows.columns
-    held = rows.groupBy(source).agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*fields).alias("row")))).alias("rows"))
-    step = lambda acc, x: F.when(keep(acc["last"], x["row"]), F.struct(after(x["row"]).alias("last"), F.concat(acc["kept"], F.array(x["row"])).alias("kept"))).otherwise(acc)
-    kind = held.schema["rows"].dataType.elementType["row"].dataType.simpleString()
-    start = F.struct(state.alias("last"), F.expr(f"cast(array() as array<{kind}>)").alias("kept"))
-    return held.select(F.explode(F.aggregate("rows", start, step)["kept"]).alias("row")).select("row.*")
+def _gated(rows: DataFrame, source: str, order: list[str], state: list[str], accepts: Callable) -> DataFrame:
+    """Rows that a gate accepts, by its state, the values of the last accepted row.
+
+    A source's rows are sorted in one partition (disk serves where memory doesn't) and pass in batches; only the state is carried from one to the next.
+    """
+    rest = [c for c in rows.columns if c not in (source, *order)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, last, begun = None, None, False
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            names = batch.column(source).to_pylist()
+            for i, x in enumerate(zip(*(batch.column(c).to_pylist() for c in state), strict=True)):
+                if not begun or names[i] != of:
+                    of, last, begun = names[i], None, True
+                if accepts(last, x):
+                    keep[i], last = True, x
+            yield batch.filter(pa.array(keep))
+
+    return rows.repartition(source).sortWithinPartitions(source, *order, *rest).mapInArrow(run, rows.schema)
 
 
 def displacement_gate(rows: DataFrame, threshold: float, source: str = "source") -> DataFrame:
-    """Rows (source, t, seq, x, y, z) that moved by the threshold or more from the last accepted one; the first is accepted."""
-    none = F.lit(None).cast("struct<x:double,y:double,z:double>")
-    moved = lambda a, b: F.sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))
-    return _folded(rows, source, ["t", "seq"], lambda last, x: last.isNull() | (moved(x, last) >= threshold), none, lambda x: F.struct(x.x.cast("double").alias("x"), x.y.cast("double").alias("y"), x.z.cast("double").alias("z")))
+    """Rows (source, t, seq, x, y, z) that moved by the threshold or more from the last accepted one; the first is accepted. A row without a place has not moved."""
+    return _gated(rows, source, ["t", "seq"], ["x", "y", "z"], lambda last, x: last is None or (None not in last and None not in x and math.dist(last, x) >= threshold))
 
 
 def rate_gate(rows: DataFrame, period: int, source: str = "source") -> DataFrame:
-    """Rows (source, t, seq) a period or more after the last accepted one; the first is accepted."""
-    return _folded(rows, source, ["t", "seq"], lambda last, x: last.isNull() | (x.t - last >= period), F.lit(None).cast("long"), lambda x: x.t.cast("long"))
+    """Rows (source, t, seq) a period or more after the last accepted one; the first is accepted, and so is the next after one without a time."""
+    return _gated(rows, source, ["t", "seq"], ["t"], lambda last, x: last is None or last[0] is None or (x[0] is not None and x[0] - last[0] >= period))
 
 
 def drifted(poses: DataFrame, step: float, turn: float) -> DataFrame:

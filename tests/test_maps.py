@@ -255,3 +255,49 @@ def test_ply_and_sinks(spark, tmp_path):
     sinks.write_occupancy(hazard.hazards(cells, LAT, FIT), str(tmp_path / "o"))
     sinks.write_grid(hazard.hazards(cells, LAT, FIT), str(tmp_path / "g"))
     assert spark.read.parquet(str(tmp_path / "o")).count() == spark.read.parquet(str(tmp_path / "g")).count() == 9
+
+
+def test_gates_carry_state_over_batches(spark):
+    """One source with many rows, in small batches; and sources that share a partition."""
+    r = random.Random(3)
+    at, rows = 0.0, []
+    for t in range(5000):
+        at += r.choice([0.0, 0.125, 0.5])
+        rows.append((1, t * 3, t, at, 0.0, 0.0))
+    rows += [(None, 1, 1, 0.0, 0.0, 0.0), (None, 2, 2, None, 0.0, 0.0), (None, 3, 3, 5.0, 0.0, 0.0), (2, None, 1, 0.0, 0.0, 0.0), (2, 4, 2, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "source long, t long, seq long, x double, y double, z double").repartition(4)
+    want, last = [], None
+    for _, _, k, x, *_ in rows[:5000]:
+        if last is None or x - last >= 1.0:
+            want.append((1, k))
+            last = x
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = sorted(((x["source"] or 0, x["seq"]) for x in keyframes.displacement_gate(df, 1.0).collect()))
+        rate = sorted(((x["source"] or 0, x["seq"]) for x in keyframes.rate_gate(df, 10).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == sorted([*want, (0, 1), (0, 3), (2, 1)])
+    assert rate == sorted([*((1, k) for k in range(0, 5000, 4)), (0, 1), (2, 1), (2, 2)])
+
+
+def test_discs_over_many_tiles(spark):
+    """Sums over discs of 30 cells' radius, over tile edges, against direct sums."""
+    lat = L.Lattice(0.05)
+    r = random.Random(9)
+    at = sorted({(r.randrange(-300, 300), r.randrange(-20, 20)) for _ in range(400)})
+    cells = spark.createDataFrame([(0, i, j, 2, *[1.0] * 9) for i, j in at], "map_id long, ci int, cj int, n long, " + ", ".join(f"{c} double" for c in moments.SUMS))
+    got = {(x["ci"], x["cj"]): (x["n_cells"], x["n"], x["own_n"]) for x in hazard.vicinity(cells, lat, 1.5).collect()}
+    want = {}
+    for i, j in at:
+        k = sum((i - a) ** 2 + (j - b) ** 2 <= 900 for a, b in at)
+        want[i, j] = (k, 2 * k, 2)
+    assert got == want
+
+
+def test_large_maps_are_encoded_in_tiles(spark):
+    cells = spark.createDataFrame([(0, i, j, float(i)) for i in (-600, -512, -1, 0, 511, 512, 5000) for j in (0, 700)], "map_id long, ci int, cj int, hazard double")
+    updates = feed.encoded(cells, ["hazard"], LAT, True).withColumn("seq", F.lit(1).cast("long"))
+    assert updates.count() == 8 and {(x["ci"], x["cj"], x["value"]) for x in feed.applied(updates).collect()} == {(x["ci"], x["cj"], x["hazard"]) for x in cells.collect()}
+    assert feed.encoded(cells, ["hazard"], LAT, True, side=1 << 14).count() == 1
