@@ -33,15 +33,15 @@ def vicinity(cells: DataFrame, lattice: Lattice, radius: float) -> DataFrame:
     reach = max(i for i, _ in offsets)
     side = max(32, 8 * reach)
     near = lambda c: F.array_distinct(F.array(*[F.floor((F.col(c) + d) / side).cast("int") for d in (-reach, reach)]))
-    dealt = cells.withColumn("tile_i", F.explode(near("ci"))).withColumn("tile_j", F.explode(near("cj"))).repartition("map_id", "tile_i", "tile_j")
+    dealt = cells.withColumn("tile_i", F.explode(near("ci"))).withColumn("tile_j", F.explode(near("cj"))).withColumn("tile", F.xxhash64("map_id", "tile_i", "tile_j")).repartition("tile")
     sent = dealt.select("*", exploded(offsets).alias("o"))
     dx, dy = F.col("o.di") * lattice.res, F.col("o.dj") * lattice.res
     sent = sent.withColumns(shifted(dx, dy)).withColumns({"ci": F.col("ci") - F.col("o.di"), "cj": F.col("cj") - F.col("o.dj"), "self": (F.col("o.di") == 0) & (F.col("o.dj") == 0)})
     sent = sent.where((F.floor(F.col("ci") / side) == F.col("tile_i")) & (F.floor(F.col("cj") / side) == F.col("tile_j")))
     point = F.struct(*[(F.col(s) / F.col("n")).alias(a) for a, s in (("x", "sx"), ("y", "sy"), ("z", "sz"))])
-    return sent.groupBy(*CELL, "tile_i", "tile_j").agg(
+    return sent.groupBy(*CELL, "tile_i", "tile_j", "tile").agg(
         F.max(F.when(F.col("self"), F.col("n"))).alias("own_n"), F.max(F.when(F.col("self"), F.col("sz"))).alias("own_sz"), F.count("*").alias("n_cells"), F.min("n").alias("least_n"), F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in SUMS], F.collect_list(point).alias("centers"),
-    ).where("own_n >= 1").drop("tile_i", "tile_j")
+    ).where("own_n >= 1").drop("tile_i", "tile_j", "tile")
 
 
 def named(columns: dict[str, Column], body: Callable[[Column], Column]) -> Column:
