@@ -129,7 +129,7 @@ class Encoder:
     Keys: "x" for the chunk " x", and "x " for a chunk "x" that has no space before it (the first, or a word by the pattern).
     """
 
-    def __init__(self, path: str = BYTE_BPE, library: bool = False, most_chunks: int = 800_000, most_chars: int = 24 << 20):
+    def __init__(self, path: str = BYTE_BPE, library: bool = False, most_chunks: int = 400_000, most_chars: int = 12 << 20):
         import regex
 
         self.vocabulary, self.most_chunks, self.most_chars = Vocabulary(path), most_chunks, most_chars

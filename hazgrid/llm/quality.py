@@ -106,7 +106,8 @@ class Judge:
         import sentencepiece
 
         self.rules, self.model = rules, sentencepiece.SentencePieceProcessor(model_file=rules.tokenizer)
-        self.bytes_of = bpe.encoder(rules.byte_tokenizer)
+        # An encoder of its own with a small cache, as a worker keeps it beside what other operators load.
+        self.bytes_of = bpe.Encoder(rules.byte_tokenizer, most_chunks=200_000, most_chars=6 << 20)
         self.is_byte = np.array([self.model.IsByte(i) for i in range(self.model.vocab_size())])
 
     def fertility(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
