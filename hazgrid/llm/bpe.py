@@ -6,7 +6,7 @@ over the sorted pair keys, takes the lowest rank of each word and merges its pai
 the ids of what stands between spaces, so a text is a gather of runs of ids, and decoding a gather of runs of bytes.
 
 Null texts count as empty: no ids. Strings of special tokens in a text become their ids, as in the tokenizers library with its default
-settings. Equal texts get equal ids; rows keep their order; an empty table gives an empty table.
+settings. Files with a normalizer, another pre-tokenizer or other kinds of merging are refused. Equal texts get equal ids; rows keep their order; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -39,6 +39,16 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def refuse_others(path: str, spec: dict) -> None:
+    """Raises for a file whose settings the encoder does not follow: it cuts by PATTERN and merges bytes, and nothing else."""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    by_bytes = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    added = not any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if spec.get("normalizer") or not (plain and by_bytes and added):
+        raise ValueError(f"{path} is not a plain byte-level BPE file")
+
+
 def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Indexes of the runs starts[i]:starts[i] + sizes[i], one after another."""
     before = np.cumsum(sizes) - sizes
@@ -51,6 +61,7 @@ class Vocabulary:
     def __init__(self, path: str = BYTE_BPE):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        refuse_others(path, spec)
         letters = byte_letters()
         ids: dict[str, int] = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}

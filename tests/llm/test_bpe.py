@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -35,6 +37,16 @@ def test_ids_equal_the_librarys(library, with_library):
     assert e.decode(ids, ends) == [library.decode(ids[a:b].tolist(), skip_special_tokens=False) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
+def test_other_files_are_refused(tmp_path):
+    spec = json.loads(Path(bpe.BYTE_BPE).read_text(encoding="utf-8"))
+    cut = spec["pre_tokenizer"]
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": cut | {"add_prefix_space": True}}, {"pre_tokenizer": cut | {"use_regex": False}}, {"pre_tokenizer": None}, {"model": spec["model"] | {"end_of_word_suffix": "</w>"}}):
+        other = tmp_path / "other.json"
+        other.write_text(json.dumps(spec | change), encoding="utf-8")
+        with pytest.raises(ValueError, match="plain byte-level"):
+            bpe.Vocabulary(str(other))
+
+
 def test_a_full_cache_forgets():
     e, t = bpe.Encoder(most_chunks=6, most_chars=90), texts()
     want = bpe.Encoder()
