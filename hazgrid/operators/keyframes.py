@@ -22,9 +22,12 @@ def valid(kf_id: Column) -> Column:
 
 
 def registered(new: DataFrame, known: DataFrame, clouds: DataFrame) -> DataFrame:
-    """New keyframes that aren't known and have a point left; the first of equal ids by seq."""
+    """New keyframes that aren't known and have a point left; the first of equal ids by seq.
+
+    Points become one row a keyframe where they are read, so no task sorts all points of one.
+    """
     first = new.groupBy("kf_id").agg(F.min_by(F.struct(*[c for c in new.columns if c != "kf_id"]), "seq").alias("r")).select("kf_id", "r.*")
-    return first.join(known, "kf_id", "left_anti").join(clouds, "kf_id", "left_semi")
+    return first.join(known, "kf_id", "left_anti").join(clouds.select("kf_id").distinct(), "kf_id", "left_semi")
 
 
 def latest_poses(updates: DataFrame) -> DataFrame:
